@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam
+from vectrill.llm import decontam, license
 
 QUERIES = {
+    "op3_license_scan": license.query,
     "op10_decontaminate": decontam.query,
 }
 SQL = {
+    "op3_license_scan": license.SQL,
     "op10_decontaminate": decontam.SQL,
 }
