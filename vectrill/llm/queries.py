@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, license
+from vectrill.llm import decontam, exact_dedup, license
 
 QUERIES = {
     "op3_license_scan": license.query,
+    "op9_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontam.query,
 }
 SQL = {
     "op3_license_scan": license.SQL,
+    "op9_exact_dedup": exact_dedup.SQL,
     "op10_decontaminate": decontam.SQL,
 }
