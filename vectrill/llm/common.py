@@ -88,3 +88,23 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", max_bro
     if ids.count() <= max_broadcast:
         few = F.broadcast(few)
     return docs.join(few, docs[id_col].eqNullSafe(few["_gone"]), "left_anti")
+
+
+#: A key with more than 1 / HEAVY of all rows is heavy; there can't be more than HEAVY of them.
+HEAVY = 1024
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join to a table with one row a key. Heavy keys' entries, at most HEAVY, are
+    broadcast and their rows spread, so no partition holds more than a share of rows."""
+    extra = [c for c in table.columns if c != key]
+    sizes = rows.groupBy(key).count()
+    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
+    heavy_keys = sizes.join(total).filter(F.col("count") * HEAVY > F.col("_total")).select(F.col(key).alias("_hk"))
+    heavy = table.join(F.broadcast(heavy_keys), table[key] == F.col("_hk")).select("_hk", F.struct(*extra).alias("_h"))
+    one = rows.join(F.broadcast(heavy), rows[key] == heavy["_hk"], "left")
+    spread = F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_003)).cast("int")).otherwise(0)
+    own = F.when(F.col("_h").isNull(), F.col(key))
+    light = table.select(F.col(key).alias("_lk"), F.lit(0).alias("_ls"), F.struct(*extra).alias("_l"))
+    two = one.withColumn("_k", own).withColumn("_s", spread).join(light, (F.col("_k") == F.col("_lk")) & (F.col("_s") == F.col("_ls")), "left")
+    return two.select(*rows.columns, F.coalesce("_h", "_l").alias("_v")).select(*rows.columns, *[F.col("_v")[c].alias(c) for c in extra])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, license
+from vectrill.llm import decontam, exact_dedup, license, token_store
 
 QUERIES = {
     "op3_license_scan": license.query,
+    "op5_token_store": token_store.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontam.query,
 }
