@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, license, token_store
+from vectrill.llm import decontam, exact_dedup, license, token_counts, token_store
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
     "op3_license_scan": license.query,
     "op5_token_store": token_store.query,
     "op9_exact_dedup": exact_dedup.query,
