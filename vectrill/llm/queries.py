@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, license, token_counts, token_store
+from vectrill.llm import decontam, exact_dedup, license, near_dedup, token_counts, token_store
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_license_scan": license.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_token_store": token_store.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontam.query,
 }
 SQL = {
     "op3_license_scan": license.SQL,
+    "op4_near_dedup": near_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_decontaminate": decontam.SQL,
 }
