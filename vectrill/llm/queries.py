@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, license, near_dedup, token_counts, token_store
+from vectrill.llm import decontam, exact_dedup, license, near_dedup, token_counts, token_store, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_license_scan": license.query,
     "op4_near_dedup": near_dedup.query,
     "op5_token_store": token_store.query,
+    "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontam.query,
 }
