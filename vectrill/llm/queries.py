@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, license, near_dedup, token_counts, token_store, toxicity
+from vectrill.llm import decontam, exact_dedup, language, license, near_dedup, token_counts, token_store, toxicity
 
 QUERIES = {
+    "op1_language_id": language.query,
     "op2_token_counts": token_counts.query,
     "op3_license_scan": license.query,
     "op4_near_dedup": near_dedup.query,
