@@ -37,13 +37,14 @@ class Scratch:
     """Written tables in the shared folder; they cut lineage and outlive lost executors.
 
     An operator drops its intermediate tables itself. What its lazy result still reads stays
-    until ``clear_scratch``.
+    until ``clear_scratch``; lasting tables stay until their owner drops them.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        _live.append(self.root)
+        if not lasting:
+            _live.append(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectrill.llm import decontam, exact_dedup, language, license, mixing, near_dedup, token_counts, token_store, toxicity
+from vectrill.llm import decontam, exact_dedup, language, license, mixing, near_dedup, pii, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.query,
     "op5_token_store": token_store.query,
     "op6_mixing": mixing.query,
+    "op7_pii": pii.query,
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontam.query,
