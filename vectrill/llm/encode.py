@@ -20,8 +20,8 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(9, 14), 32]] = _SPACE
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _PUNCT
-#: Entries of the memo; beyond it a new generation begins. It has no effect on results.
-MEMO = 300_000
+#: Entries of the memo, about 50 bytes each; beyond it the memo starts anew. It has no effect on results.
+MEMO = 1_000_000
 #: Bytes worked on at a time.
 BLOCK = 2_000_000
 
@@ -77,6 +77,38 @@ def spread(offset: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(offset - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class _Memo:
+    """Distinct units and their ids in flat arrays, found by hash and compared byte by byte."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys = np.empty(0, np.uint64)
+        self.at = np.empty((4, 0), np.int64)  # ids' offset and count, bytes' offset and count
+        self.ids, self.raw = np.empty(1 << 16, dtype), np.empty(1 << 16, np.uint8)
+        self.n_ids = self.n_raw = 0
+
+    @staticmethod
+    def _append(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        if used + len(new) > len(pool):
+            pool = np.concatenate([pool[:used], np.empty(used + 2 * len(new), pool.dtype)])
+        pool[used : used + len(new)] = new
+        return pool
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+        """keys ascending and unseen."""
+        at = np.array([self.n_ids + np.cumsum(counts) - counts, counts, self.n_raw + np.cumsum(sizes) - sizes, sizes])
+        self.ids, self.n_ids = self._append(self.ids, self.n_ids, ids), self.n_ids + len(ids)
+        self.raw, self.n_raw = self._append(self.raw, self.n_raw, raw), self.n_raw + len(raw)
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")  # merges two sorted runs
+        self.keys, self.at = keys[order], np.concatenate([self.at, at], axis=1)[:, order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        pos = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return pos, self.keys[pos] == keys
+
+
 class Encoder:
     """UTF-8 texts to ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -97,8 +129,7 @@ class Encoder:
         added = [re.escape(t["content"].encode()) for t in spec.get("added_tokens", [])]
         self.added = re.compile(b"|".join(added)) if added else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.memo = _Memo(self.dtype)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,22 +148,18 @@ class Encoder:
                 out += [ids[a:b] for a, b in zip([0, *(ends + 1).tolist()], e)]
         return out
 
-    def _lookup(self, units: list[bytes]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        new = []
-        for u in units:
-            if u not in memo:
-                if u in old:
-                    memo[u] = old[u]
-                else:
-                    new.append(u)
-        spaces = [u for u in new if u.isspace()]
-        rest = [u for u in new if not u.isspace()]
-        memo.update(zip(spaces, self._whole([u.decode() for u in spaces])))
-        memo.update(zip(rest, self._unit_ids(rest)))
-        return list(map(memo.__getitem__, units))
+    def _learn(self, raw: bytes, buf: np.ndarray, keys: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
+        if len(self.memo.keys) > MEMO:
+            self.memo = _Memo(self.dtype)
+        units = [raw[a:b] for a, b in zip(at.tolist(), to.tolist())]
+        ids: list = [None] * len(units)
+        spaces = [i for i, u in enumerate(units) if u.isspace()]
+        own = set(spaces)
+        rest = [i for i in range(len(units)) if i not in own]
+        for where, some in ((spaces, self._whole([units[i].decode() for i in spaces])), (rest, self._unit_ids([units[i] for i in rest]))):
+            for i, x in zip(where, some):
+                ids[i] = x
+        self.memo.add(keys, np.concatenate(ids), np.array([len(x) for x in ids], np.int64), buf[spread(at, to - at)], to - at)
 
     def _block(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = b"\n".join(texts) + b"\n"
@@ -141,20 +168,28 @@ class Encoder:
         docs = np.concatenate([[0], ends[:-1]])
         at = _units(buf, docs)
         to = np.append(at[1:], len(buf))
-        own = buf[at] != 10  # drop the line ends between documents
-        own |= ~np.isin(at, ends - 1)
+        between = np.zeros(len(buf), bool)  # the line ends between documents
+        between[ends - 1] = True
+        own = ~between[at]
         at, to = at[own], to[own]
         if not len(at):
             return [np.empty(0, self.dtype)] * len(texts)
-        h = span_hashes(buf, at, to)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(buf[spread(at[first][which], to - at)], buf[spread(at, to - at)]):  # two units share a hash
+        keys, first, which = np.unique(span_hashes(buf, at, to), return_index=True, return_inverse=True)
+        a, b = at[first], to[first]
+        _, known = self.memo.find(keys)
+        if not known.all():
+            self._learn(raw, buf, keys[~known], a[~known], b[~known])
+            pos, known = self.memo.find(keys)
+            if not known.all():  # the memo started anew
+                self._learn(raw, buf, keys[~known], a[~known], b[~known])
+        pos, _ = self.memo.find(keys)
+        id_at, id_n, raw_at, raw_n = self.memo.at[:, pos]
+        size = to - at
+        same = np.array_equal(raw_n[which], size) and np.array_equal(self.memo.raw[spread(raw_at[which], size)], buf[spread(at, size)])
+        if not same:  # two units share a hash
             return self._whole([t.decode() for t in texts])
-        ids = self._lookup([raw[a:b] for a, b in zip(at[first].tolist(), to[first].tolist())])
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.concatenate(ids)
-        n = count[which]
-        flat = pool[spread((np.cumsum(count) - count)[which], n)]
+        n = id_n[which]
+        flat = self.memo.ids[spread(id_at[which], n)]
         upto = np.concatenate([[0], np.cumsum(n)])
         cut = upto[np.searchsorted(at, docs)]
         return [flat[a:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(flat)])]

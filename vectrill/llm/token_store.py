@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrill.llm.common import Scratch, lookup
-from vectrill.llm.encode import encoder, tokenizer_path
+from vectrill.llm.encode import BLOCK, encoder, tokenizer_path
 
 #: Ids in a chunk: cuts fall where the rolling hash of the last WINDOW ids has MASK's bits clear.
 WINDOW, MASK, LEAST, MOST = 8, 511, 128, 4096
@@ -30,19 +30,23 @@ RANGE = 4096
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend only on nearby ids, so inserted text moves few."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def rolling(ids: np.ndarray) -> np.ndarray:
+    """Where the hash of the WINDOW ids up to a place allows a cut behind it."""
     t = _MIX[ids & 0xFFFF]
-    h = np.zeros(n, np.uint64)
+    h = t.copy()
     with np.errstate(over="ignore"):
-        for k in range(WINDOW):
-            h[k:] += t[: n - k] << np.uint64(k)
+        for k in range(1, WINDOW):
+            h[k:] += t[:-k] << np.uint64(k)
     h ^= h >> np.uint64(32)
+    return np.flatnonzero((h & np.uint64(MASK)) == 0) + 1
+
+
+def cuts(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of n ids, of LEAST to MOST ids but for the last. marks come from
+    rolling(), over this stream or one around it: with LEAST > WINDOW only own ids matter. So
+    cuts depend only on nearby ids, and inserted text moves few."""
     out, last = [], 0
-    for c in (np.flatnonzero((h & np.uint64(MASK)) == 0) + 1).tolist():
+    for c in marks:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -78,23 +82,34 @@ def _cutter(path: str, end_id: int):
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             ids_of = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and size < BLOCK:
+                    size += len(texts[j]) + 1
+                    j += 1
                 docs, chunks = [], []
-                for doc, ids in zip(ids_of[i : i + 500], enc.encode(texts[i : i + 500])):
-                    ids = np.concatenate([ids, end])
-                    ends = cuts(ids)
-                    raw, w = ids.tobytes(), ids.itemsize
-                    starts = [0, *ends[:-1]]
+                lists = enc.encode(texts[i:j])
+                flat = np.concatenate([x for ids in lists for x in (ids, end)])
+                stops = np.cumsum([len(x) + 1 for x in lists])
+                marks = rolling(flat)
+                split = np.searchsorted(marks, stops, "right").tolist()
+                raw, w, begin, m0 = flat.tobytes(), flat.itemsize, 0, 0
+                marks = marks.tolist()
+                for doc, stop, m1 in zip(ids_of[i:j], stops.tolist(), split):
+                    ends = cuts(stop - begin, [m - begin for m in marks[m0:m1]])
                     hashes = []
-                    for a, b in zip(starts, ends):
-                        piece = raw[a * w : b * w]
+                    for a, b in zip([0, *ends[:-1]], ends):
+                        piece = raw[(begin + a) * w : (begin + b) * w]
                         h = digest(piece)
                         hashes.append(h)
                         if h not in seen:  # a task sends each chunk's ids once
                             seen.add(h)
                             chunks.append((h, piece))
-                    docs.append((doc, b"".join(hashes), np.diff([0, *ends]).astype("<u4").tobytes(), len(ids), merkle(hashes)))
-                if len(seen) > 1_000_000:
+                    docs.append((doc, b"".join(hashes), np.diff([0, *ends]).astype("<u4").tobytes(), stop - begin, merkle(hashes)))
+                    begin, m0 = stop, m1
+                i = j
+                if len(seen) > 300_000:
                     seen.clear()
                 n, m = len(docs), len(chunks)
                 schema = schema or pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("lens", pa.binary()), ("n", pa.int64()), ("root", pa.binary()), ("hash", pa.binary()), ("ids", pa.binary())])
