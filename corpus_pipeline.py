@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrill.llm import decontam, mixing, near_dedup, token_store, toxicity
-from vectrill.llm.common import Scratch, clear_scratch, without_ids
+from vectrill.llm.common import Scratch, clear_scratch, delete, without_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents, each but the last written to the shared folder and read again."""
     docs = _table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         scratch = Scratch(spark, f"pipeline-{name}", lasting=True)
         docs = scratch.table(stage(spark, docs, sf_dir), "documents")
+        if before:
+            delete(spark, before.root)
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
