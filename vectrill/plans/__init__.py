@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectrill.plans import knn
+from vectrill.plans import knn, vectors
 from vectrill.plans.registry import QUERIES, SQL
 
 
