@@ -13,7 +13,7 @@ from vectrill.plans.registry import query, read
 #: A fixed query vector of 64 dimensions.
 PROBE = [round(((i * 37) % 64 - 31.5) / 256, 6) for i in range(64)]
 OTHER = [round(((i * 23 + 5) % 64 - 30.0) / 256, 6) for i in range(64)]
-PROBE_SQL, OTHER_SQL = ("[" + ", ".join(map(str, v)) + "]::DOUBLE[]" for v in (PROBE, OTHER))
+PROBE_SQL, OTHER_SQL = ("([" + ", ".join(map(str, v)) + "]::DOUBLE[])" for v in (PROBE, OTHER))
 
 
 def r6(c: Column) -> Column:
