@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectrill.plans import knn, searching, vectors
+from vectrill.plans import analytics, knn, searching, vectors
 from vectrill.plans.registry import QUERIES, SQL
 
 
