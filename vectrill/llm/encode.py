@@ -74,7 +74,9 @@ def _units(buf: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def spread(offset: np.ndarray, count: np.ndarray) -> np.ndarray:
     """offset[0], offset[0] + 1, ... count[0] of them, then offset[1], ..."""
     ends = np.cumsum(count)
-    return np.repeat(offset - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not total or offset.max() < 1 << 30) else np.int64
+    return np.repeat((offset - (ends - count)).astype(kind), count) + np.arange(total, dtype=kind)
 
 
 class _Memo:
@@ -134,32 +136,39 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit_ids(self, units: list[bytes]) -> list[np.ndarray]:
-        """Units without line ends are joined by line ends, which are units of their own, to save calls."""
-        out: list[np.ndarray] = []
-        for i in range(0, len(units), 2000):
-            some = units[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(some) - 1:
-                out += self._whole([u.decode() for u in some])
+    def _unit_ids(self, buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each unit. The units, which have no line end, are joined by
+        line ends, which are units of their own, to save calls."""
+        flat, counts = [], []
+        for i in range(0, len(at), 5000):
+            n = size[i : i + 5000] + 1
+            raw = buf[spread(at[i : i + 5000], n)]
+            raw[np.cumsum(n) - 1] = 10
+            ids = np.array(self.tok.encode_batch_fast([raw[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, self.dtype)
+            line = ids == self.line
+            ends = np.flatnonzero(line)
+            if len(ends) != len(n) - 1:
+                some = self._whole(raw.tobytes().decode().split("\n")[:-1])
+                flat += some
+                counts += [len(x) for x in some]
             else:
-                e = [*ends.tolist(), len(ids)]
-                out += [ids[a:b] for a, b in zip([0, *(ends + 1).tolist()], e)]
-        return out
+                flat.append(ids[~line])
+                counts += (np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1).tolist()
+        return np.concatenate(flat), np.array(counts, np.int64)
 
     def _learn(self, raw: bytes, buf: np.ndarray, keys: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
         if len(self.memo.keys) > MEMO:
             self.memo = _Memo(self.dtype)
-        units = [raw[a:b] for a, b in zip(at.tolist(), to.tolist())]
-        ids: list = [None] * len(units)
-        spaces = [i for i, u in enumerate(units) if u.isspace()]
-        own = set(spaces)
-        rest = [i for i in range(len(units)) if i not in own]
-        for where, some in ((spaces, self._whole([units[i].decode() for i in spaces])), (rest, self._unit_ids([units[i] for i in rest]))):
-            for i, x in zip(where, some):
-                ids[i] = x
-        self.memo.add(keys, np.concatenate(ids), np.array([len(x) for x in ids], np.int64), buf[spread(at, to - at)], to - at)
+        space = _CLASS[buf[to - 1]] == _SPACE
+        for some, is_space in ((space, True), (~space, False)):
+            if some.any():
+                a, b = at[some], to[some]
+                if is_space:
+                    lists = self._whole([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())])
+                    ids, counts = np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+                else:
+                    ids, counts = self._unit_ids(buf, a, b - a)
+                self.memo.add(keys[some], ids, counts, buf[spread(a, b - a)], b - a)
 
     def _block(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = b"\n".join(texts) + b"\n"
@@ -174,7 +183,13 @@ class Encoder:
         at, to = at[own], to[own]
         if not len(at):
             return [np.empty(0, self.dtype)] * len(texts)
-        keys, first, which = np.unique(span_hashes(buf, at, to), return_index=True, return_inverse=True)
+        h = span_hashes(buf, at, to)
+        order = np.argsort(h)
+        keys = h[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        keys, first = keys[new], order[new]
         a, b = at[first], to[first]
         _, known = self.memo.find(keys)
         if not known.all():
@@ -185,7 +200,7 @@ class Encoder:
         pos, _ = self.memo.find(keys)
         id_at, id_n, raw_at, raw_n = self.memo.at[:, pos]
         size = to - at
-        same = np.array_equal(raw_n[which], size) and np.array_equal(self.memo.raw[spread(raw_at[which], size)], buf[spread(at, size)])
+        same = np.array_equal(raw_n[which], size) and np.array_equal(self.memo.raw[spread(raw_at[which], size)], buf[~between])
         if not same:  # two units share a hash
             return self._whole([t.decode() for t in texts])
         n = id_n[which]
