@@ -54,9 +54,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by label propagation: each round a node takes its neighbours' most frequent
-    label, the smallest on ties. Labels are the smallest node ids that spread."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src != dst").distinct())
+    """(node, community) by label propagation: each round a node takes the most frequent label of
+    itself and its neighbours, the smallest on ties. Labels are the smallest node ids that spread."""
+    ends = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src != dst")
+    # a node votes for its own label, too; otherwise two neighbours would swap labels for ever
+    both = cut(ends.union(ends.select("src", F.col("src").alias("dst"))).distinct())
     label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.count("*").alias("n"))
