@@ -68,8 +68,15 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: the arrays over all their words stay small."""
     for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, 1000):
         h, bounds = word_hashes(_texts(batch, "text"))
         left, p = pair_hashes(h, bounds)
         toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), np.int64), np.diff(bounds))
@@ -82,7 +89,7 @@ def _counter(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         counts, total = np.zeros(len(known), np.int64), 0
-        for batch in batches:
+        for batch in _slices(batches):
             h, _ = word_hashes(_texts(batch, "text"))
             total += len(h)
             if len(known):
@@ -208,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     model = Model(w, ratio, p.view(np.uint64)[order], extra[order], np.empty(0), np.zeros(3), np.ones(3), 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             x = held.value.features(_texts(batch, "text"))
             yield pa.record_batch({**{f"x{k}": pa.array(x[:, k]) for k in range(3)}, "y": batch.column("toxic")})
 
@@ -221,11 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     return model
 
 
-def _scorer(held):
+def _scorer(held, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = held.value.score(_texts(batch, "_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(score)], ["_row", "_score"])
+        for batch in _slices(batches):
+            texts = [t or b"" for t in batch.column("_row").field(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(held.value.score(texts))], ["_row", "_score"])
 
     return run
 
@@ -233,8 +240,8 @@ def _scorer(held):
 def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """_row (all of docs' columns, whatever their names) and _score, one row for each of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).cast("string").alias("_text"))
-    return d.mapInArrow(_scorer(held), d.select("_row", F.lit(0.0).alias("_score")).schema)
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return d.mapInArrow(_scorer(held, docs.columns.index(text)), d.select("_row", F.lit(0.0).alias("_score")).schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
