@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectrill.plans import analytics, knn, relational, searching, vectors
+from vectrill.plans import analytics, knn, monitoring, relational, searching, vectors
 from vectrill.plans.registry import QUERIES, SQL
 
 
