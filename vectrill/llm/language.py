@@ -73,7 +73,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # a row stays for ranking if its hash is in the lowest share that should hold four times the quota
     unit = F.shiftrightunsigned("order", 1) / float(1 << 63)
-    cut = rows.join(F.broadcast(sizes), "lang").filter(unit * F.col("n") <= 4.0 * per_language + 20).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 1), "_id")))
+    cut = rows.join(sizes, "lang").filter(unit * F.col("n") <= 4.0 * per_language + 20).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.shiftrightunsigned("order", 1), "_id")))
     picked = scratch.table(cut.filter(F.col("rank") <= per_language).orderBy("rank", "lang").limit(sample).select(F.col("_id").alias("_p"), F.col("lang").alias("_lang"), "order"), "picked")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), (F.col("_id") == F.col("_p")) & (F.col("lang") == F.col("_lang")))
     got = texts.select("lang", "order", "text").mapInArrow(_packed, "lang string, order long, bits binary").toArrow()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch, fold
+from vectrill.llm.common import Scratch, fold, slices
 
 #: Hashed byte pairs; labelled rows that train the classifier at most, by smallest hash of their id.
 FEATURES, SAMPLE = 1024, 8_000
@@ -108,7 +108,7 @@ def memberships(docs: DataFrame, classifier: Classifier, *, doc_id: str = "doc_i
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, n = features([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             p = held.value.posteriors(x)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "posteriors": pa.array(list(p.astype(float)), pa.list_(pa.float64()))})

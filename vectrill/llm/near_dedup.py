@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch, lookup, without_ids
+from vectrill.llm.common import Scratch, lookup, slices, without_ids
 from vectrill.llm.components import components
 from vectrill.llm.encode import span_hashes
 
@@ -125,7 +125,7 @@ FEATURES = "doc_id long, n long, digest binary, bands array<long>, sketch array<
 
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for i in range(0, len(texts), 1000):
                 sets = shingle_sets(texts[i : i + 1000], k)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch
+from vectrill.llm.common import Scratch, slices
 from vectrill.llm.encode import encoder, tokenizer_path
 
 BLOCK_BYTES = 8 << 20
@@ -42,9 +42,7 @@ def write_flat(docs: DataFrame, folder: str, *, separator: int, tokenizer: str |
         where.create_dir(base, recursive=True)
         name, nth, out = f"{uuid.uuid4().hex}.ids", 0, None
         end = np.array([separator], enc.dtype)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             out = out or where.open_output_stream(f"{base}/{name}")
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for i in range(0, len(texts), 500):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch, fold
+from vectrill.llm.common import Scratch, fold, slices
 from vectrill.llm.encode import span_hashes
 
 #: At most so many labelled rows of each class train the models, and so many calibrate them; those
@@ -68,15 +68,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of fewer rows: the arrays over all their words stay small."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches, 1000):
+    for batch in slices(batches):
         h, bounds = word_hashes(_texts(batch, "text"))
         left, p = pair_hashes(h, bounds)
         toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), np.int64), np.diff(bounds))
@@ -89,7 +82,7 @@ def _counter(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         counts, total = np.zeros(len(known), np.int64), 0
-        for batch in _slices(batches):
+        for batch in slices(batches, 500):
             h, _ = word_hashes(_texts(batch, "text"))
             total += len(h)
             if len(known):
@@ -215,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     model = Model(w, ratio, p.view(np.uint64)[order], extra[order], np.empty(0), np.zeros(3), np.ones(3), 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, 500):
             x = held.value.features(_texts(batch, "text"))
             yield pa.record_batch({**{f"x{k}": pa.array(x[:, k]) for k in range(3)}, "y": batch.column("toxic")})
 
@@ -230,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
 
 def _scorer(held, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches, 500):
             texts = [t or b"" for t in batch.column("_row").field(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(held.value.score(texts))], ["_row", "_score"])
 
