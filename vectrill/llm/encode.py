@@ -140,20 +140,25 @@ class Encoder:
         """Ids and their number for each unit. The units, which have no line end, are joined by
         line ends, which are units of their own, to save calls."""
         flat, counts = [], []
+        line = np.array([self.line], self.dtype)
         for i in range(0, len(at), 5000):
             n = size[i : i + 5000] + 1
             raw = buf[spread(at[i : i + 5000], n)]
-            raw[np.cumsum(n) - 1] = 10
-            ids = np.array(self.tok.encode_batch_fast([raw[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, self.dtype)
-            line = ids == self.line
-            ends = np.flatnonzero(line)
-            if len(ends) != len(n) - 1:
-                some = self._whole(raw.tobytes().decode().split("\n")[:-1])
+            ends = np.cumsum(n)
+            raw[ends - 1] = 10
+            text = raw.tobytes()
+            stops = [0, *ends[99:-1:100].tolist(), len(text)]  # short texts stay in the library's cache lines
+            parts = self.tok.encode_batch_fast([text[a : b - 1].decode() for a, b in zip(stops, stops[1:])], add_special_tokens=False)
+            ids = np.concatenate([x for p in parts for x in (np.array(p.ids, self.dtype), line)])
+            between = ids == self.line
+            at_line = np.flatnonzero(between)
+            if len(at_line) != len(n):
+                some = self._whole(text.decode().split("\n")[:-1])
                 flat += some
                 counts += [len(x) for x in some]
             else:
-                flat.append(ids[~line])
-                counts += (np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1).tolist()
+                flat.append(ids[~between])
+                counts += (np.diff(np.concatenate([[-1], at_line])) - 1).tolist()
         return np.concatenate(flat), np.array(counts, np.int64)
 
     def _learn(self, raw: bytes, buf: np.ndarray, keys: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:

@@ -16,16 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch, lookup
+from vectrill.llm.common import Scratch, delete, lookup, slices
 from vectrill.llm.encode import BLOCK, encoder, tokenizer_path
 
 #: Ids in a chunk: cuts fall where the rolling hash of the last WINDOW ids has MASK's bits clear.
 WINDOW, MASK, LEAST, MOST = 8, 511, 128, 4096
-#: Documents are numbered and put in the manifest by ranges of this many ids.
+#: Documents of one row of the manifest.
 RANGE = 4096
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -79,7 +79,7 @@ def _cutter(path: str, end_id: int):
         enc, seen = encoder(path), set()
         end = np.array([end_id], enc.dtype)
         schema = None
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             ids_of = batch.column(0).to_pylist()
             i = 0
@@ -144,38 +144,36 @@ def write_store(docs: DataFrame, folder: str, *, end_id: int = 2, tokenizer: str
     parts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cutter(path, end_id), PARTS)
     key = F.coalesce("hash", F.concat("root", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     parts.repartition(key).mapInArrow(_once, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
-    recipes = _numbered(spark.read.schema(PARTS).parquet(f"{folder}/parts").filter("kind = 'doc'").select("doc_id", "hashes", "lens", "n", "root"))
-    recipes.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    scratch = Scratch(spark, "token-ranges")
+    recipes = _numbered(spark.read.schema(PARTS).parquet(f"{folder}/parts").filter("kind = 'doc'").select("doc_id", "hashes", "lens", "n", "root"), scratch)
+    recipes.repartitionByRange("nth").sortWithinPartitions("nth").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    delete(spark, scratch.root)
     manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
-def _range(c: str = "doc_id") -> Column:
-    return F.floor(F.col(c) / RANGE)
-
-
-def _numbered(recipes: DataFrame) -> DataFrame:
-    """Adds nth (order among equal ids) and start: ids of all documents before.
+def _numbered(recipes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds nth (the document's number) and start (ids of all documents before) in doc_id order.
 
-    A prefix scan in two levels: sums of ranges of ids, then places within a range. The upper
-    level has one narrow row a range of RANGE ids.
+    A prefix scan over range partitions: documents are sorted into partitions once, each
+    partition's sums are scanned (one narrow row a partition), then places within a partition.
+    Neither sparse ids nor one id that repeats for ever makes a large partition.
     """
-    r = recipes.withColumn("range", _range())
-    sums = r.groupBy("range").agg(F.sum("n").alias("all"))
-    # the ranges themselves are scanned in two levels, too
-    up = sums.withColumn("top", _range("range"))
-    tops = up.groupBy("top").agg(F.sum("all").alias("t")).select("top", (F.sum("t").over(W.orderBy(F.asc_nulls_first("top"))) - F.col("t")).alias("base"))
-    base = up.join(F.broadcast(tops), up["top"].eqNullSafe(tops["top"])).select("range", (F.col("base") + F.sum("all").over(W.partitionBy(up["top"]).orderBy(F.asc_nulls_first("range"))) - F.col("all")).alias("before"))
-    base = base.withColumnRenamed("range", "_range")
-    inside = W.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), "root")
-    rows = r.withColumn("nth", F.row_number().over(inside)).withColumn("within", F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    return rows.join(base, rows["range"].eqNullSafe(base["_range"])).select("doc_id", "nth", (F.col("before") + F.col("within")).alias("start"), "n", "hashes", "lens", "root")
+    ranged = recipes.repartitionByRange(F.asc_nulls_first("doc_id"), "root").withColumn("part", F.spark_partition_id())
+    r = scratch.table(ranged, "ranges")
+    sums = r.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n").alias("ids"))
+    up = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    base = sums.select(F.col("part").alias("_part"), (F.sum("docs").over(up) - F.col("docs")).alias("docs_before"), (F.sum("ids").over(up) - F.col("ids")).alias("ids_before"))
+    inside = W.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "root").rowsBetween(W.unboundedPreceding, 0)
+    rows = r.withColumn("place", F.row_number().over(inside) - 1).withColumn("within", F.sum("n").over(inside) - F.col("n"))
+    rows = rows.join(F.broadcast(base), rows["part"] == base["_part"])  # as many rows as partitions
+    return rows.select("doc_id", (F.col("docs_before") + F.col("place")).alias("nth"), (F.col("ids_before") + F.col("within")).alias("start"), "n", "hashes", "lens", "root")
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """One row a range of ids: documents, ids and the hash over their roots in order."""
-    return recipes.groupBy(_range().alias("range")).agg(
+    """One row a range of RANGE documents: how many, their ids, and the hash over their roots in order."""
+    return recipes.groupBy(F.floor(F.col("nth") / RANGE).alias("range")).agg(
         F.count("*").alias("documents"), F.sum("n").alias("ids"),
-        F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "nth", F.hex("root").alias("h")))), lambda x: x["h"])).cast("binary"), 256).alias("root"),
+        F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("nth", F.hex("root").alias("h")))), lambda x: x["h"])).cast("binary"), 256).alias("root"),
     )
 
 
@@ -225,7 +223,7 @@ def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     recipes = spark.read.parquet(f"{folder}/recipes")
     one = recipes.select("doc_id", "nth", "start", "n", "root", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("hashes") / 16).cast("int") - 1), lambda i: F.substring("hashes", i * 16 + 1, F.lit(16)))).alias("at", "hash"))
     found = lookup(one, chunks, "hash")
-    docs = found.groupBy("doc_id", "nth").agg(F.first("start").alias("start"), F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("at", "crc", "size", "hash"))).alias("chunks"))
+    docs = found.groupBy("nth").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("at", "crc", "size", "hash"))).alias("chunks"))
     return docs.select("doc_id", "start", "n", "root", "chunks").mapInArrow(_joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -245,7 +243,7 @@ def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
             ids = [np.frombuffer(b"".join(c["ids"] for c in cs), f"<u{width}").astype("<i8").tolist() for cs in b.column("chunks").to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "start": b.column("start"), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
-    whole = one.join(chunks, "hash").groupBy("doc_id", "nth").agg(F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("chunks"))
+    whole = one.join(chunks, "hash").groupBy("nth").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("chunks"))
     return whole.select("doc_id", "start", "chunks").mapInArrow(unpack, "doc_id long, start long, ids array<long>")
 
 
