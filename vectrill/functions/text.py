@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrill.operators.lineage import cut
+
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of ASCII letters and digits, cut at 255 characters."""
@@ -56,12 +58,13 @@ def bm25_fixed(query: str, words: Column, k1: float = 1.5, b: float = 0.75, n: i
 def bm25(df: DataFrame, query: str, *, doc_id: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of texts with a query term, by the corpus's own figures: ln(1 + (N - n + .5) / (n + .5)).
 
-    One pass gathers a fixed number of sums (N, average length, each term's document count);
-    a second scores rows. Nothing is shuffled but those sums.
+    Texts are read once: lengths and term counts, a few numbers a row, are checkpointed. A fixed
+    number of sums over them (N, average length, each term's document count) scores the rows.
     """
     terms = query_terms(query)
     w = df.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("w"))
     w = w.select("doc_id", F.size("w").alias("len"), *[term_count(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    w = cut(w)
     sums = w.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     x = w.crossJoin(F.broadcast(sums))  # one row
     score = F.lit(0.0)

@@ -159,13 +159,13 @@ def ridge_regression(spark, sf_dir):
     return spark.createDataFrame([(round(m.intercept, 2), round(m.coefficients[0], 3))], "intercept double, slope double")
 
 
-@query("lasso_regression", "SELECT round(my - w * mx, 2) + 0.0 AS intercept, round(w, 3) + 0.0 AS slope FROM (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, (covar_pop(l_extendedprice, l_quantity) - 100.0) / var_pop(l_quantity) AS w FROM lineitem)")
+@query("lasso_regression", "SELECT round(my - w * mx, 2) + 0.0 AS intercept, round(w, 3) + 0.0 AS slope FROM (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, sign(covar_pop(l_extendedprice, l_quantity)) * greatest(abs(covar_pop(l_extendedprice, l_quantity)) - 100.0, 0) / var_pop(l_quantity) AS w FROM lineitem)")
 def lasso_regression(spark, sf_dir):
     m = L.lasso_regression(lines(spark, sf_dir), "x", "y", 100.0)
     return spark.createDataFrame([(round(m.intercept, 2), round(m.coefficients[0], 3))], "intercept double, slope double")
 
 
-@query("elastic_net", "SELECT round(my - w * mx, 2) + 0.0 AS intercept, round(w, 3) + 0.0 AS slope FROM (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, (covar_pop(l_extendedprice, l_quantity) - 50.0) / (var_pop(l_quantity) + 50.0) AS w FROM lineitem)")
+@query("elastic_net", "SELECT round(my - w * mx, 2) + 0.0 AS intercept, round(w, 3) + 0.0 AS slope FROM (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, sign(covar_pop(l_extendedprice, l_quantity)) * greatest(abs(covar_pop(l_extendedprice, l_quantity)) - 50.0, 0) / (var_pop(l_quantity) + 50.0) AS w FROM lineitem)")
 def elastic_net(spark, sf_dir):
     m = L.elastic_net(lines(spark, sf_dir), "x", "y", 100.0, 0.5)
     return spark.createDataFrame([(round(m.intercept, 2), round(m.coefficients[0], 3))], "intercept double, slope double")
