@@ -34,7 +34,7 @@ def neighbour_mean(edges: DataFrame, vectors: DataFrame, dims: int, *, id_col: s
     mean = vector_aggregate(got, "v", "avg", ["src"], dims, "m")
     both = v.join(mean.withColumnRenamed("src", "node"), "node", "left")
     mixed = F.zip_with("v", "m", lambda x, y: own_weight * x + (1 - own_weight) * y)
-    return both.select("node", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(mixed, F.col("v")).alias("vector"))
+    return both.select("node", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce(mixed, F.col("v")).alias("vector"))
 
 
 def contains(a, b) -> Column:

@@ -12,15 +12,14 @@ from vectrill.plans.vectors import emb, r6
 _E = "embedding::DOUBLE[]"
 
 
-@query("knn_graph", f"SELECT src, dst, round(d, 5) + 0.0 AS distance FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.{_E}, b.{_E}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.{_E}, b.{_E}), 7), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 150 AND b.vec_id < 150) WHERE r <= 4")
+@query("knn_graph", f"SELECT src, dst, round(d, 5) + 0.0 AS distance FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.{_E}, b.{_E}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.{_E}, b.{_E}), 7), b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r <= 4")
 def knn_graph(spark, sf_dir):
-    """Over the first 150 vectors, as the graph's own demonstration set."""
-    return O.knn_graph(emb(spark, sf_dir).filter("vec_id < 150"), "embedding", 4, id_col="vec_id").withColumn("distance", F.round("distance", 5) + F.lit(0.0))
+    return O.knn_graph(emb(spark, sf_dir), "embedding", 4, id_col="vec_id").withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
-@query("neighbour_mean", f"WITH e AS {_EDGES} SELECT CAST(src AS BIGINT) AS node, CAST(count(*) AS BIGINT) AS n, round(avg({_E.replace('::', '[1]::').replace('[]', '')}), 6) + 0.0 AS first, round(avg(embedding[64]::DOUBLE), 6) + 0.0 AS last FROM e JOIN embeddings ON vec_id = dst GROUP BY src")
+@query("neighbour_mean", f"WITH e AS {_EDGES}, m AS (SELECT src, count(*) AS n, avg(embedding[1]::DOUBLE) AS a, avg(embedding[64]::DOUBLE) AS z FROM e JOIN embeddings ON vec_id = dst GROUP BY src) SELECT vec_id AS node, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(a, embedding[1]::DOUBLE), 6) + 0.0 AS first, round(coalesce(z, embedding[64]::DOUBLE), 6) + 0.0 AS last FROM embeddings LEFT JOIN m ON src = vec_id")
 def neighbour_mean(spark, sf_dir):
-    v = emb(spark, sf_dir).filter("vec_id < 25")
+    v = emb(spark, sf_dir)
     d = O.neighbour_mean(edges(spark, sf_dir), v, 64, id_col="vec_id", vector="embedding")
     return d.select("node", "n", r6(F.element_at("vector", 1)).alias("first"), r6(F.element_at("vector", -1)).alias("last"))
 

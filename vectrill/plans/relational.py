@@ -72,19 +72,19 @@ def cube_segments(spark, sf_dir):
     return c.withColumn("zone", F.col("c_nationkey") % 3).cube("c_mktsegment", "zone").agg(F.count("*").alias("n"))
 
 
-@query("ranked_orders", "SELECT o_custkey, o_orderkey, CAST(rn AS INTEGER) AS rn, CAST(rk AS INTEGER) AS rk, round(running, 2) AS running, round(o_totalprice - coalesce(prev, 0), 2) AS change FROM (SELECT *, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS running, lag(o_totalprice) OVER w AS prev FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE o_custkey < 100")
+@query("ranked_orders", "SELECT o_custkey, o_orderkey, CAST(rn AS INTEGER) AS rn, CAST(rk AS INTEGER) AS rk, round(running, 2) AS running, round(o_totalprice - coalesce(prev, 0), 2) AS change FROM (SELECT *, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS running, lag(o_totalprice) OVER w AS prev FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))")
 def ranked_orders(spark, sf_dir):
     (o,) = t(spark, sf_dir, "orders")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    d = o.filter("o_custkey < 100").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("rk"), F.sum("o_totalprice").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"), F.lag("o_totalprice").over(w).alias("p"), "o_totalprice")
+    d = o.select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")).alias("rk"), F.sum("o_totalprice").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"), F.lag("o_totalprice").over(w).alias("p"), "o_totalprice")
     return d.select("o_custkey", "o_orderkey", "rn", "rk", r2(F.col("s")).alias("running"), r2(F.col("o_totalprice") - F.coalesce("p", F.lit(0.0))).alias("change"))
 
 
-@query("set_operations", "SELECT kind, count(*) AS n FROM ((SELECT 'union' AS kind, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)) UNION ALL (SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)) UNION ALL (SELECT 'except', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20))) GROUP BY kind")
+@query("set_operations", "SELECT kind, count(*) AS n FROM ((SELECT 'union' AS kind, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)) UNION ALL (SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)) UNION ALL (SELECT 'except', k FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000))) GROUP BY kind")
 def set_operations(spark, sf_dir):
     c, s, n = t(spark, sf_dir, "customer", "supplier", "nation")
     a, b = c.select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k"))
-    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": n.select(F.col("n_nationkey").alias("k")).subtract(s.filter("s_suppkey < 20").select("s_nationkey"))}
+    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": n.select(F.col("n_nationkey").alias("k")).subtract(s.filter("s_acctbal > 5000").select("s_nationkey"))}
     out = None
     for kind, d in parts.items():
         x = d.select(F.lit(kind).alias("kind"), "k")

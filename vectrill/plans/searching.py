@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectrill.functions import irmetrics as M
 from vectrill.functions import text as T
 from vectrill.functions import vector as V
+from vectrill.operators import admin as A
 from vectrill.operators import rerank as R
 from vectrill.operators import search as S
 from vectrill.plans.registry import query, read
@@ -42,17 +43,17 @@ def knn_inner_product(spark, sf_dir):
     return S.knn(emb(spark, sf_dir), "embedding", PROBE, 15, metric="inner_product", id_col="vec_id").select("id", r6(F.col("distance")).alias("distance"))
 
 
-@query("knn_batch", f"WITH q AS (SELECT vec_id AS q, {_E} AS v FROM embeddings WHERE vec_id % 25 = 0), p AS (SELECT q, vec_id AS id, list_distance(v, {_E}) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 7), id) AS rank FROM p) SELECT q AS query_id, id, round(d, 5) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@query("knn_batch", f"WITH q AS (SELECT vec_id AS q, {_E} AS v FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q, vec_id AS id, list_distance(v, {_E}) AS d FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(d, 7), id) AS rank FROM p) SELECT q AS query_id, id, round(d, 5) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def knn_batch(spark, sf_dir):
-    """A stated query set: every 25th vector against all."""
+    """A stated query set: every hundredth vector against all."""
     e = emb(spark, sf_dir)
-    return S.knn_batch(e, "embedding", e.filter("vec_id % 25 = 0"), "embedding", 5, id_col="vec_id", query_id="vec_id").withColumn("distance", F.round("distance", 5) + F.lit(0.0))
+    return S.knn_batch(e, "embedding", e.filter("vec_id % 100 = 0"), "embedding", 5, id_col="vec_id", query_id="vec_id").withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
-@query("vec_join_threshold", f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_distance(a.{_E}, b.{_E}), 6) + 0.0 AS distance FROM embeddings a JOIN embeddings b ON list_distance(a.{_E}, b.{_E}) <= 1.3 WHERE a.label = 2 AND b.label = 4")
+@query("vec_join_threshold", f"SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_distance(a.{_E}, b.{_E}), 6) + 0.0 AS distance FROM embeddings a JOIN embeddings b ON list_distance(a.{_E}, b.{_E}) <= 1.2")
 def vec_join_threshold(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return S.vec_join(e.filter("label = 2"), e.filter("label = 4"), "embedding", "embedding", 1.3, left_id="vec_id", right_id="vec_id").withColumn("distance", r6(F.col("distance")))
+    return S.vec_join(e, e, "embedding", "embedding", 1.2, left_id="vec_id", right_id="vec_id").withColumn("distance", r6(F.col("distance")))
 
 
 @query("faceted_search", f"SELECT facet, id, round(score, 6) + 0.0 AS score FROM (SELECT label AS facet, vec_id AS id, 1 - list_distance({_E}, {PROBE_SQL}) AS score, row_number() OVER (PARTITION BY label ORDER BY 1 - list_distance({_E}, {PROBE_SQL}) DESC, vec_id) AS rn FROM embeddings) WHERE rn <= 3")
@@ -79,9 +80,10 @@ def temporal_score(spark, sf_dir):
     return d.select(F.col("vec_id").alias("id"), r6(S.temporal_score(V.l2_distance("embedding", PROBE), "ts", NOW)).alias("score"), r6(S.temporal_decay("ts", NOW, 0.1)).alias("decay"), S.temporal_filter("ts", NOW, 14).alias("recent"))
 
 
-@query("tenant_search", f"SELECT id, round(d, 6) + 0.0 AS distance FROM (SELECT id, list_distance(e, {PROBE_SQL}) AS d FROM {_EV} WHERE user_id % 7 = 3) ORDER BY d, id LIMIT 10")
+@query("tenant_search", f"SELECT id, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id AS id, list_distance({_E}, {PROBE_SQL}) AS d FROM embeddings WHERE label = 3) ORDER BY d, id LIMIT 10")
 def tenant_search(spark, sf_dir):
-    return S.knn(event_vectors(spark, sf_dir), "embedding", PROBE, 10, id_col="vec_id", where=F.col("user_id") % 7 == 3).select("id", r6(F.col("distance")).alias("distance"))
+    """The label stands for the tenant."""
+    return S.knn(A.for_tenant(emb(spark, sf_dir), "label", 3), "embedding", PROBE, 10, id_col="vec_id").select("id", r6(F.col("distance")).alias("distance"))
 
 
 @query("hybrid_search", f"SELECT id, round(score, 6) + 0.0 AS score FROM (SELECT id, 0.7 * (1 - list_distance(e, {PROBE_SQL})) + 0.3 * {_RANK} AS score FROM {_DV}) ORDER BY score DESC, id LIMIT 10")
@@ -210,10 +212,13 @@ def colbert_maxsim(spark, sf_dir):
     return d.select("vec_id", r6(R.colbert(F.col("q"), F.col("t"))).alias("score"))
 
 
-@query("rerank_edit", "SELECT doc_id AS id, round(CASE WHEN greatest(length(t), length(q)) = 0 THEN 1 ELSE 1 - levenshtein(t, q) / greatest(length(t), length(q)) END, 6) + 0.0 AS score FROM (SELECT doc_id, substr(text, 1, 40) AS t, 'the and of it was' AS q FROM documents WHERE lang = 'en') ORDER BY CASE WHEN greatest(length(t), length(q)) = 0 THEN 1 ELSE 1 - levenshtein(t, q) / greatest(length(t), length(q)) END DESC, doc_id LIMIT 10")
+_EDIT = "CASE WHEN greatest(length(t), length(q)) = 0 THEN 1 ELSE 1 - levenshtein(t, q) / greatest(length(t), length(q)) END"
+
+
+@query("rerank_edit", f"SELECT p_partkey AS id, round({_EDIT}, 6) + 0.0 AS score FROM (SELECT p_partkey, coalesce(p_name, '') AS t, 'part 17' AS q FROM part) ORDER BY {_EDIT} DESC, p_partkey LIMIT 10")
 def rerank_edit(spark, sf_dir):
-    d = docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.substring("text", 1, 40).alias("t"))
-    return R.rank_by_edit(d, "the and of it was", "t", 10, id_col="doc_id").select("id", r6(F.col("score")).alias("score"))
+    """Over ASCII names: DuckDB counts edits of bytes, Spark of characters."""
+    return R.rank_by_edit(read(spark, sf_dir, "part"), "part 17", "p_name", 10, id_col="p_partkey").select("id", r6(F.col("score")).alias("score"))
 
 
 @query("rerank_scorer", "SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM (SELECT doc_id AS id, (list_contains(w, 'the')::INT + list_contains(w, 'mit')::INT + list_contains(w, 'license')::INT) / 3.0::DOUBLE AS score FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) ORDER BY score DESC, id LIMIT 10")
@@ -222,7 +227,7 @@ def rerank_scorer(spark, sf_dir):
     return R.rerank(docs(spark, sf_dir), "the MIT license", "text", id_col="doc_id")
 
 
-_IR = f"(SELECT q, list(id ORDER BY rank) AS got FROM (SELECT q.vec_id AS q, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.{_E}, e.{_E}), e.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings e) WHERE rank <= 10 GROUP BY q)"
+_IR = f"(SELECT q, list(id ORDER BY rank) AS got FROM (SELECT q.vec_id AS q, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.{_E}, e.{_E}), e.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings e) WHERE rank <= 10 GROUP BY q)"
 _REL = "(SELECT label AS l, list(vec_id ORDER BY vec_id) AS rel FROM embeddings GROUP BY label)"
 
 
@@ -234,7 +239,7 @@ _REL = "(SELECT label AS l, list(vec_id ORDER BY vec_id) AS rel FROM embeddings
 )
 def ir_metrics(spark, sf_dir):
     e = emb(spark, sf_dir)
-    got = S.knn_batch(e, "embedding", e.filter("vec_id % 50 = 0"), "embedding", 10, id_col="vec_id", query_id="vec_id")
+    got = S.knn_batch(e, "embedding", e.filter("vec_id % 100 = 0"), "embedding", 10, id_col="vec_id", query_id="vec_id")
     got = got.groupBy(F.col("query_id").alias("q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("got"))
     rel = e.groupBy("label").agg(F.collect_list("vec_id").alias("rel"))
     x = got.join(e.select("vec_id", "label"), F.col("q") == F.col("vec_id")).join(rel, "label")
@@ -292,6 +297,6 @@ def hash_embedding(spark, sf_dir):
 @query("rag_query")
 def rag_query(spark, sf_dir):
     """Chunks nearest to a question by the built-in embedding's cosine; a provider is an argument."""
-    chunks = T.chunk(docs(spark, sf_dir).filter("lang = 'en'"), doc_id="doc_id", text="text")
+    chunks = T.chunk(docs(spark, sf_dir), doc_id="doc_id", text="text")
     q = T.hash_embed(["what is the license"])[0]
     return S.knn(chunks.withColumn("v", T.embed_udf()(F.col("chunk_text"))).withColumn("id", F.struct("doc_id", "chunk_id")), "v", q, 5, metric="cosine", keep=["chunk_text"]).select("id.doc_id", "id.chunk_id", "chunk_text", r6(1 - F.col("distance")).alias("relevance_score"))
