@@ -12,6 +12,7 @@ from vectrill.operators import search as S
 from vectrill.operators import stats as X
 from vectrill.operators import timeseries as TS
 from vectrill.plans.registry import query, read
+from vectrill.plans.searching import doc_vectors
 from vectrill.plans.vectors import PROBE, PROBE_SQL, emb, r6
 
 _E = "embedding::DOUBLE[]"
@@ -250,8 +251,7 @@ def cluster_hierarchical(spark, sf_dir):
 
 @query("topics")
 def topics(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").join(emb(spark, sf_dir), F.col("doc_id") == F.col("vec_id"))
-    return L.topics(d, "embedding", "text", 5)
+    return L.topics(doc_vectors(spark, sf_dir), "embedding", "text", 5)
 
 
 @query("reduce_pca")

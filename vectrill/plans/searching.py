@@ -25,8 +25,10 @@ def docs(spark, sf_dir):
 
 
 def doc_vectors(spark, sf_dir):
-    """Documents with the vector of the same number."""
-    return docs(spark, sf_dir).join(emb(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding", "label"), F.col("doc_id") == F.col("id"))
+    """Every document with the vector of its number modulo the number of vectors."""
+    e = emb(spark, sf_dir).select(F.col("vec_id").alias("id"), "embedding", "label")
+    d = docs(spark, sf_dir).crossJoin(F.broadcast(e.agg(F.count("*").alias("_n"))))  # one row
+    return d.join(e, F.expr("pmod(doc_id, nullif(_n, 0))") == F.col("id")).drop("_n")
 
 
 _DV = f"(SELECT doc_id AS id, text, lang, source, label, {_E} AS e, {_TOK} AS w FROM documents JOIN embeddings ON doc_id = vec_id)"
