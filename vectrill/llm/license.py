@@ -3,7 +3,9 @@
 Every rolling two-word hash of a document is joined to the positions that the same hash has
 in license templates. A hit votes for the diagonal (document position minus template
 position). Votes of neighbouring diagonals are merged, so small insertions don't split a
-match. Each vote is verified word by word in the join.
+match. Each vote is verified word by word in the join, and each merged span as a whole: distinct
+template positions count, the words that tell licences apart must stand at their places, and
+no such word of another licence may stand between.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ TEMPLATES = [
     ("unless required by applicable law or agreed to in writing software distributed under the license", "apache-text"),
     ("this program is free software you can redistribute it and or modify it under the terms", "gpl-text"),
 ]
-#: Diagonals at most this far apart are merged; the share of a wording's votes that makes a label.
+#: Diagonals at most this far apart are merged; the share of a wording's positions that makes a label.
 REACH, ACCEPT = 2, 0.8
+#: Words that tell licences apart, besides numbers.
+NAMES = "gnu general lesser library affero apache mozilla eclipse cc nc sa nd attribution noncommercial sharealike noderivatives noderivs zero".split()
 
 
 def templates(phrases=PHRASES, wordings=TEMPLATES) -> list[tuple]:
@@ -53,6 +57,32 @@ def templates(phrases=PHRASES, wordings=TEMPLATES) -> list[tuple]:
     return out
 
 
+def _verified(names: list[str], reach: int) -> Column:
+    """Whether the telling words of a wording (_t) stand at their places among the words near a
+    span (_near, from place _from), and none but its own within the span (_lo to _hi)."""
+    t, near, off = F.col("_t"), F.col("_near"), F.col("diag") - F.col("_from")
+
+    def tells(x: Column) -> Column:
+        return x.isin(*names) | x.rlike("^v?[0-9]+$")
+
+    def place(x: Column, i: Column) -> Column:
+        """Of a word in near, the first around position i; null if it is not there."""
+        a = F.greatest(F.lit(0), i + off - reach)
+        at = F.array_position(F.slice(near, a + 1, F.greatest(F.lit(0), i + off + reach + 1 - a)), x)
+        return F.when(at > 0, (a + at - 1).cast("int"))
+
+    # an end that no hit covers lies beyond the hits: words inserted before it are in the span, too
+    first, last = F.element_at(t, 1), F.element_at(t, -1)
+    lo = F.col("_lo") - F.col("_from")
+    hi = F.col("_hi") - F.col("_from")
+    lo = F.when(F.array_contains("merged", F.lit(0)), lo).otherwise(F.least(lo, place(first, F.lit(0))))
+    hi = F.when(F.array_contains("merged", F.size(t) - 2), hi).otherwise(F.greatest(hi, place(last, F.size(t) - 1)))
+    lo = F.greatest(F.lit(0), lo)
+    span = F.slice(near, lo + 1, F.greatest(F.lit(0), hi - lo + 1))
+    named = F.exists(t, tells)
+    return F.forall(F.transform(t, lambda x, i: ~tells(x) | place(x, i).isNotNull()), lambda x: x) & ~(named & F.exists(span, lambda x: tells(x) & ~F.array_contains(t, x)))
+
+
 def _sql(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'")
 
@@ -62,30 +92,38 @@ def _spots(w: Column) -> Column:
     return F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"))), F.when(F.size(w) >= 2, at).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")))
 
 
-def scan_licenses(docs: DataFrame, *, phrases=PHRASES, wordings=TEMPLATES, reach: int = REACH, accept: float = ACCEPT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, phrases=PHRASES, wordings=TEMPLATES, reach: int = REACH, accept: float = ACCEPT, names=NAMES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score and matches (template label, first word, share of votes).
+    base_labels, labels, score and matches (template label, first word, share of positions).
 
-    score is the highest share of votes among the labels given, 0 without one. Null and empty
+    A wording whose words include names or numbers needs them at their places, and no others
+    within its span. score is the highest share of votes among the labels given, 0 without one. Null and empty
     texts have no words, no places and empty label strings. Repeated rows and null ids are
     each reported by themselves; extra columns are ignored. The templates are arguments, so
     the broadcast side has a fixed size; only hits and one row a document are shuffled.
     """
     spark: SparkSession = docs.sparkSession
-    rows = ", ".join(f"({n}, {base}, '{_sql(label)}', {votes}, {at}, '{_sql(gram)}')" for n, base, label, votes, at, gram in templates(phrases, wordings))
-    t = spark.sql(f"SELECT * FROM VALUES {rows} AS v(t, base, label, votes, at, gram)").select("*", F.xxhash64(F.split("gram", " ")[0], F.split("gram", " ")[1]).alias("_h"))
+    texts = [_sql(" ".join(text.split())) for text, _ in [*phrases, *wordings]]
+    rows = ", ".join(f"({n}, {base}, '{_sql(label)}', {votes}, {at}, '{_sql(gram)}', '{texts[n]}')" for n, base, label, votes, at, gram in templates(phrases, wordings))
+    t = spark.sql(f"SELECT * FROM VALUES {rows} AS v(t, base, label, votes, at, gram, wording)").select("*", F.xxhash64(F.split("gram", " ")[0], F.split("gram", " ")[1]).alias("_h"))
     w = F.col("_w")
     d = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(doc_id).alias("_id"), words(F.col(text)).alias("_w"))
     # inline_outer: the plain form infers a filter that would evaluate the whole array twice
     rows = d.select("_uid", "_id", "_w", _spots(w).alias("_s")).select("_uid", "_id", "_w", F.inline_outer("_s"))
     hits = rows.join(F.broadcast(t), rows["h"] == t["_h"], "left").filter((F.col("pos") == -1) | (F.concat_ws(" ", F.get(w, F.col("pos")), F.get(w, F.col("pos") + 1)) == F.col("gram")))
-    diagonals = hits.groupBy("_uid", "t", (F.col("pos") - F.col("at")).alias("diag")).agg(
-        F.first("_id").alias("_id"), F.first("base").alias("base"), F.first("label").alias("label"), F.first("votes").alias("all"), F.max(F.when(F.col("pos") == -1, F.size(w))).alias("n"), F.count("at").alias("got")
-    )
-    merged = F.sum("got").over(W.partitionBy("_uid", "t").orderBy("diag").rangeBetween(-reach, reach))
-    share = F.when(F.col("base"), (F.col("got") == F.col("all")).cast("double")).otherwise(F.least(F.lit(1.0), F.col("merged") / F.col("all")))
+    diag = F.col("pos") - F.col("at")
+    near = F.when(~F.col("base"), F.slice(w, F.greatest(F.lit(0), diag - reach) + 1, F.col("votes") + 1 + 2 * reach + F.least(F.lit(0), diag)))
+    diagonals = hits.groupBy("_uid", "t", diag.alias("diag")).agg(
+        F.first("_id").alias("_id"), F.first("base").alias("base"), F.first("label").alias("label"), F.first("votes").alias("all"), F.max(F.when(F.col("pos") == -1, F.size(w))).alias("n"), F.count("at").alias("got"),
+        F.first("wording").alias("wording"), F.first(near).alias("_near"), F.collect_set("at").alias("_at"),
+    )
+    around = W.partitionBy("_uid", "t").orderBy("diag").rangeBetween(-reach, reach)
+    diagonals = diagonals.withColumn("_lo", F.min(F.col("diag") + F.array_min("_at")).over(around)).withColumn("_hi", F.max(F.col("diag") + F.array_max("_at") + 1).over(around))
+    diagonals = diagonals.withColumn("_from", F.greatest(F.lit(0), F.col("diag") - reach)).withColumn("_t", F.split("wording", " "))
+    merged = F.array_distinct(F.flatten(F.collect_list("_at").over(around)))
+    share = F.when(F.col("base"), (F.col("got") == F.col("all")).cast("double")).otherwise(F.size("merged") / F.col("all"))
     found = diagonals.withColumn("merged", merged).withColumn("share", F.when(F.col("t").isNotNull(), share))
-    ok = F.when(F.col("base"), F.col("share") == 1.0).otherwise(F.col("share") >= accept)
+    ok = F.when(F.col("base"), F.col("share") == 1.0).otherwise(F.when(F.col("share") >= accept, _verified(list(names), reach)).otherwise(False))
     place = F.when(ok & F.col("base"), F.col("diag").cast("long"))
 
     def labels(cond: Column) -> Column:
