@@ -1,5 +1,8 @@
 """Queries take part in their whole tables, where a table is larger than the one it is joined to."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from vectrill.plans import all_queries
@@ -15,3 +18,18 @@ def test_every_document_has_a_vector(spark, tmp_path):
     for name in ("hybrid_search", "semantic_keyword"):
         assert {r["id"] for r in all_queries()[name](spark, str(tmp_path)).collect()} == set(range(8))
     assert all_queries()["topics"](spark, str(tmp_path)).agg(F.sum("n")).first()[0] == 8
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ivf_search_finds_nine_of_ten(spark, sf):
+    d = f"/root/testdata/{sf}"
+    if not Path(d).exists():
+        pytest.skip("no test tables")
+    got = {(r["query_id"], r["id"]) for r in all_queries()["ivf_search"](spark, d).collect()}
+    from vectrill.operators.search import knn_batch
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    want = {(r["query_id"], r["id"]) for r in knn_batch(e, "embedding", e.filter("vec_id % 100 = 0"), "embedding", 10, id_col="vec_id", query_id="vec_id").collect()}
+    assert {q for q, _ in got} == {q for q, _ in want}
+    others = {(q, i) for q, i in want if q != i}
+    assert len(got & others) >= 0.9 * len(others)
