@@ -33,3 +33,34 @@ def test_ivf_search_finds_nine_of_ten(spark, sf):
     assert {q for q, _ in got} == {q for q, _ in want}
     others = {(q, i) for q, i in want if q != i}
     assert len(got & others) >= 0.9 * len(others)
+
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+
+
+@tables
+def test_graphs_read_the_orders(spark):
+    o = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    next_to = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        c, p = 2 * o[r["l_orderkey"]], 2 * r["l_partkey"] + 1
+        next_to.setdefault(c, set()).add(p)
+        next_to.setdefault(p, set()).add(c)
+    depth, layer = {0: 0}, [0]
+    while layer:
+        layer = sorted({d for s in layer for d in next_to[s]} - set(depth))
+        depth |= {d: depth[min(next_to[d] & set(depth), key=depth.get)] + 1 for d in layer}
+    run = {n: all_queries()[n](spark, SF).collect() for n in ("graph_bfs_orders", "graph_pagerank_orders", "graph_communities", "graph_dfs")}
+    assert {r["node"]: r["depth"] for r in run["graph_bfs_orders"]} == depth
+    assert {r["node"] for r in run["graph_dfs"]} == set(depth)
+    assert {r["node"] for r in run["graph_communities"]} == set(next_to) == {r["node"] for r in run["graph_pagerank_orders"]}
+    assert abs(sum(r["score"] for r in run["graph_pagerank_orders"]) - 1) < 1e-4
+
+
+@tables
+def test_vector_graphs_reach_all_vectors(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    mean = all_queries()["neighbour_mean_vectors"](spark, SF).collect()
+    assert len(mean) == n and {r["n"] for r in mean} == {4}
+    assert max(r["node"] for r in all_queries()["graph_knn_vectors"](spark, SF).collect()) > 24

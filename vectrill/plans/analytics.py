@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectrill.operators import admin as A
 from vectrill.operators import graph as G
 from vectrill.operators import learn as L
+from vectrill.operators import mlops as O
 from vectrill.operators import search as S
 from vectrill.operators import stats as X
 from vectrill.operators import timeseries as TS
@@ -68,7 +69,8 @@ def similarity_histogram(spark, sf_dir):
     return X.similarity_histogram(emb(spark, sf_dir), "embedding", 1000, id_col="vec_id")
 
 
-# ---- graphs: customers and the parts they bought, small enough for SQL to follow
+# ---- graphs: a small made-up one of the nations that SQL can follow, customers and the parts they
+# bought, and the nearest neighbours of all vectors
 
 _EDGES = "(SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + k) % 25 AS dst FROM nation, (SELECT unnest([1, 3, 8]) AS k))"
 
@@ -78,6 +80,18 @@ def edges(spark, sf_dir):
     return n.select("src", ((F.col("src") * 7 + F.col("k")) % 25).alias("dst")).distinct()
 
 
+def bought(spark, sf_dir):
+    """Edges both ways between each customer (node 2 c_custkey) and each part it bought (2 p_partkey + 1)."""
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).dropna().distinct()
+    return e.union(e.select("dst", "src"))
+
+
+def near(spark, sf_dir):
+    """Each vector's four nearest others."""
+    return O.knn_graph(emb(spark, sf_dir), "embedding", 4, id_col="vec_id").select("src", "dst")
+
+
 @query("graph_bfs", f"WITH RECURSIVE e AS {_EDGES}, r(node, depth) AS (SELECT 0, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 12), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT CAST(m.node AS BIGINT) AS node, CAST(m.depth AS INTEGER) AS depth, CAST(min(p.node) AS BIGINT) AS parent FROM m LEFT JOIN e ON dst = m.node LEFT JOIN m p ON p.node = src AND p.depth = m.depth - 1 GROUP BY m.node, m.depth")
 def graph_bfs(spark, sf_dir):
     return G.bfs(edges(spark, sf_dir), 0)
@@ -96,13 +110,33 @@ def graph_pagerank(spark, sf_dir):
 @query("graph_communities")
 def graph_communities(spark, sf_dir):
     """Iterative; tested against a plain loop."""
-    return G.communities(edges(spark, sf_dir), 5)
+    return G.communities(bought(spark, sf_dir), 5)
 
 
 @query("graph_dfs")
 def graph_dfs(spark, sf_dir):
     """Serial; tested against a plain loop."""
-    return G.dfs(edges(spark, sf_dir), 0)
+    return G.dfs(bought(spark, sf_dir), 0)
+
+
+@query("graph_bfs_orders")
+def graph_bfs_orders(spark, sf_dir):
+    """From customer 0, to any depth. Too large for SQL; tested against a plain loop."""
+    return G.bfs(bought(spark, sf_dir), 0)
+
+
+@query("graph_pagerank_orders")
+def graph_pagerank_orders(spark, sf_dir):
+    """Until no score changes by 1e-6, which SQL can't express."""
+    return G.pagerank(bought(spark, sf_dir)).select("node", (F.round("score", 8) + F.lit(0.0)).alias("score"))
+
+
+@query("graph_knn_vectors")
+def graph_knn_vectors(spark, sf_dir):
+    """Among all vectors that neighbours, either way, lead to from vector 0. Too slow in SQL."""
+    e = near(spark, sf_dir)
+    both = e.union(e.select("dst", "src")).distinct()
+    return G.graph_knn(both, emb(spark, sf_dir), 0, PROBE, 5, -1, id_col="vec_id", vector="embedding").withColumn("distance", r6(F.col("distance")))
 
 
 @query("graph_knn", f"WITH RECURSIVE e AS {_EDGES}, r(node, depth) AS (SELECT 0, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT CAST(node AS BIGINT) AS node, round(list_distance({_E}, {PROBE_SQL}), 6) + 0.0 AS distance, CAST(depth AS INTEGER) AS hops FROM m JOIN embeddings ON vec_id = node ORDER BY list_distance({_E}, {PROBE_SQL}), node LIMIT 5")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectrill.operators import mlops as O
-from vectrill.plans.analytics import _EDGES, edges
+from vectrill.plans.analytics import _EDGES, edges, near
 from vectrill.plans.registry import query, read
 from vectrill.plans.vectors import emb, r6
 
@@ -24,6 +24,13 @@ def neighbour_mean(spark, sf_dir):
     return d.select("node", "n", r6(F.element_at("vector", 1)).alias("first"), r6(F.element_at("vector", -1)).alias("last"))
 
 
+@query("neighbour_mean_vectors")
+def neighbour_mean_vectors(spark, sf_dir):
+    """Over the nearest neighbours of every vector; too slow in SQL."""
+    d = O.neighbour_mean(near(spark, sf_dir), emb(spark, sf_dir), 64, id_col="vec_id", vector="embedding")
+    return d.select("node", "n", r6(F.element_at("vector", 1)).alias("first"), r6(F.element_at("vector", -1)).alias("last"))
+
+
 @query("ab_test", "WITH g AS (SELECT user_id % 3 AS variant, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1), c AS (SELECT n AS cn, m AS cm, s AS cs FROM g ORDER BY variant LIMIT 1) SELECT variant, n, round(m, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS std, round(m / cm - 1, 6) + 0.0 AS lift, round((m - cm) / sqrt(s * s / n + cs * cs / cn), 6) + 0.0 AS z FROM g, c")
 def ab_test(spark, sf_dir):
     d = read(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("variant"), "value")
