@@ -183,16 +183,60 @@ def test_near_duplicates_edges(spark):
     assert sum(r["kept"] for r in rows if r["n_shingles"]) == 1 and {r["component_id"] for r in rows if r["n_shingles"]} == {3}
 
 
+def thue_morse(n):
+    """Two words of n letters that a polynomial hash modulo 2 ** 64 can't tell apart, from n = 1024 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_near_duplicates_of_words_that_collide(spark):
+    one, two = thue_morse(4096)
+    got = by_id(near_dedup.near_duplicates(docs(spark, [one, two, f"x y {one} z", f"x y {two} z"])))
+    assert [got[i]["component_id"] for i in range(4)] == [0, 1, 2, 3]
+    assert near_dedup.similar([one.encode()] * 2, [two.encode(), one.encode()], 4, 80, 100) == [False, True]
+
+
+def test_near_duplicates_hot_bucket(spark):
+    """4,000 texts that share a passage of 60 words, with 8 own words each, and one group of 2,000 near copies
+    whose own passage is another: no pairs within the first, a link a member within the second."""
+    rnd = random.Random(15)
+    passage, base = prose(rnd, 60, 5000), prose(rnd, 90, 5000).split()
+    texts = [f"{passage} " + " ".join(f"u{i}x{k}" for k in range(16)) for i in range(4000)]
+    for i in range(2000):
+        w = list(base)
+        w[i % 90] = f"v{i}"
+        texts.append(" ".join(w))
+    long = prose(rnd, 20_000, 100_000)
+    texts += [long, long + " end", prose(rnd, 20_000, 100_000)]
+    got = by_id(near_dedup.near_duplicates(docs(spark, texts)))
+    assert all(got[i]["component_id"] == i for i in range(4000))
+    assert {got[i]["component_id"] for i in range(4000, 6000)} == {4000}
+    assert [got[i]["component_id"] for i in (6000, 6001, 6002)] == [6000, 6000, 6002]
+
+
+def test_pairs_are_compared_word_by_word():
+    rnd = random.Random(16)
+    texts = [" ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 40))) for _ in range(80)]
+    pairs = [(x, y) for x in texts for y in texts if x and y]
+    got = near_dedup.similar([x.encode() for x, _ in pairs], [y.encode() for _, y in pairs], 4, 60, 100)
+    for (x, y), g in zip(pairs, got):
+        (a, b), _ = brute_near([x, y])
+        assert g == (100 * len(a & b) >= 60 * len(a | b))
+
+
 def test_odd_sketch_estimates(spark):
     rng = np.random.default_rng(2)
     for j in (0.8, 0.9, 1.0):
+        seen = []
         for _ in range(20):
             u = rng.integers(0, 2**63, 2000, dtype=np.uint64)
-            n = int(round(1000 * j))
-            a = np.unique(np.concatenate([u[:n], u[n : n + (1000 - n) // 2]]))
-            b = np.unique(np.concatenate([u[:n], u[1500 : 1500 + (1000 - n) // 2]]))
+            n = int(round(2000 * j / (1 + j)))
+            a, b = np.unique(u[:1000]), np.unique(u[1000 - n : 2000 - n])
             s = near_dedup.odd_sketches(np.array([near_dedup.samples(a), near_dedup.samples(b)])).view(np.uint64)
-            assert sum(int(x).bit_count() for x in (s[0] ^ s[1])) <= near_dedup.MOST
+            seen.append(sum(int(x).bit_count() for x in (s[0] ^ s[1])))
+            assert seen[-1] <= near_dedup.most_bits(j)
+        assert abs(np.mean([near_dedup.estimate(x) for x in seen]) - j) < 0.03
+    assert near_dedup.most_bits(0.8) < near_dedup.most_bits(0.7)
 
 
 def test_components(spark):

@@ -103,15 +103,20 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", max_bro
 HEAVY = 1024
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with one row a key. Heavy keys' entries, at most HEAVY, are
-    broadcast and their rows spread, so no partition holds more than a share of rows."""
+def lookup(rows: DataFrame, table: DataFrame, key: str, heavy: Column | None = None) -> DataFrame:
+    """Left join to a table with one row a key. Heavy keys' entries, at most HEAVY of them, are
+    broadcast and their rows spread, so no partition holds more than a share of rows. They are
+    counted, unless `heavy` tells them by the table's own columns (a size at hand)."""
     extra = [c for c in table.columns if c != key]
-    sizes = rows.groupBy(key).count()
-    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
-    heavy_keys = sizes.join(total).filter(F.col("count") * HEAVY > F.col("_total")).select(F.col(key).alias("_hk"))
-    heavy = table.join(F.broadcast(heavy_keys), table[key] == F.col("_hk")).select("_hk", F.struct(*extra).alias("_h"))
-    one = rows.join(F.broadcast(heavy), rows[key] == heavy["_hk"], "left")
+    if heavy is None:
+        sizes = rows.groupBy(key).count()
+        total = F.broadcast(rows.agg(F.count("*").alias("_total")))
+        heavy_keys = sizes.join(total).filter(F.col("count") * HEAVY > F.col("_total")).select(F.col(key).alias("_hk"))
+        entries = table.join(F.broadcast(heavy_keys), table[key] == F.col("_hk"))
+    else:
+        entries = table.filter(heavy).withColumn("_hk", F.col(key))
+    few = entries.select("_hk", F.struct(*extra).alias("_h"))
+    one = rows.join(F.broadcast(few), rows[key] == few["_hk"], "left")
     spread = F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_003)).cast("int")).otherwise(0)
     own = F.when(F.col("_h").isNull(), F.col(key))
     light = table.select(F.col(key).alias("_lk"), F.lit(0).alias("_ls"), F.struct(*extra).alias("_l"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch
+from vectrill.llm.common import HEAVY, Scratch, lookup
 
 
-def _star(edges: DataFrame, low: str = "m") -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias(low))
-    return edges.join(least, "u")
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge with the least of u's neighbours and u; the edges of a u with very many are spread."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    return lookup(edges, least, "u", F.col("_n") * HEAVY > total).drop("_n")
 
 
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -21,11 +22,11 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = scratch.table(e, "edges")
-    last = None
+    last, total = None, e.count()
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        small = _star(large.select("u", "v"))
+        large = _star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = _star(large.select("u", "v"), total)
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         new = scratch.table(small, "edges")
         scratch.drop(e)
@@ -33,5 +34,5 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
+        last, total = now, now[0]
     raise RuntimeError(f"components did not settle in {most} rounds")
