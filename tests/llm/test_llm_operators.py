@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing extra columns."""
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -394,12 +395,40 @@ def test_pii(spark):
         assert order == sorted(set(order))
 
 
-def test_pii_adds_what_looks_alike(spark):
-    """Addresses that the strict rule misses for a letter, where the trees have learnt what addresses look like."""
+def card(rnd, right=True):
+    d = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+    return d + next(str(c) for c in range(10) if luhn(d + str(c)) == right)
+
+
+def test_pii_trees_add_spans(spark):
+    """What a rule loses in a longer run or for a letter, and trees that know such spans give back; decoys stay out."""
     rnd = random.Random(8)
-    texts = [f"{prose(rnd, 6)} mail user{i}@host{i % 7}.example.com {prose(rnd, 4)} on 12/{i % 9}0/2024 12:30" for i in range(300)] + ["mail josé.núñez@correo.example.com now"]
-    r = by_id(pii.find_pii(docs(spark, texts)))[300]
-    assert r["n_email"] == brute_pii(texts[300])[0]["email"] and r["spans"]
+    texts = []
+    for i in range(600):
+        kind = [card(rnd), card(rnd, False), f"user{i}@{'post.' * (i % 5)}host{i % 7}.example.com", f"+1 ({rnd.randrange(100, 999)}) 555-{rnd.randrange(1000, 9999)}", f"10.0.{i % 250}.7", f"{rnd.randrange(10**7)}-{rnd.randrange(10**6)}"][i % 6]
+        left, right = (prose(rnd, n).translate(str.maketrans("0123456789", "abcdefghij")) for n in (6, 4))  # a digit before a card would join it
+        texts.append(f"{left} {kind} {right}")
+    one, two, decoy = card(rnd), card(rnd), card(rnd, False)
+    more = [f"pay {one} {two} now", f"pay {one} {decoy} now", "call +1 (826) 555-4081 190.137.223.204 today", "mail jósé5 (at) correo.example.com now", f"number {decoy} only", f"dots {one[:4]}.{one[4:8]}.{one[8:12]}.{one[12:]} end"]
+    got = by_id(pii.find_pii(docs(spark, texts + more)))
+    found = [{t[s["start"] : s["end"]] for s in got[600 + i]["found"]} for i, t in enumerate(more)]
+    assert {one, two} <= found[0] and one in found[1] and decoy not in found[1]
+    assert "+1 (826) 555-4081" in found[2] and "jósé5 (at) correo.example.com" in found[3]
+    assert not found[4] and f"{one[:4]}.{one[4:8]}.{one[8:12]}.{one[12:]}" in found[5]
+    assert not any(brute_pii(t)[1] for t in (more[0], more[1], more[3], more[5]))  # no rule finds these
+    added = [t[s["start"] : s["end"]] for i, t in enumerate(texts) for s in got[i]["found"] if f"{s['kind']}:{s['start']}:{s['end']}" not in brute_pii(t)[1]]
+    assert len(added) <= 6 and not any(luhn(re.sub('[^0-9]', '', x)) is False and x.isdigit() for x in added), added
+
+
+def test_pii_of_long_texts(spark):
+    """Patterns neither recurse nor search again, and many spans of one text cost no more each."""
+    texts = ["a@b" + ".c" * 1000, "a@b" + ".c" * 1_000_000, "a(at)b" + " (dot) c" * 100_000, "7" * 200_000, "1 " * 200_000, " ".join(f"u{i}@ex.org" for i in range(50_000)), "1.2.3.4 " * 20_000]
+    began = time.time()
+    got = by_id(pii.find_pii(docs(spark, texts)))
+    assert time.time() - began < 120
+    assert [got[i]["n_email"] for i in range(7)] == [1, 1, 0, 0, 0, 50_000, 0] and got[6]["n_ip"] == 20_000
+    for i in (0, 1, 5, 6):
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(brute_pii(texts[i])[1]).encode()).hexdigest()
 
 
 def test_pii_edges(spark):

@@ -1,45 +1,58 @@
 """Personal data: candidate spans judged by boosted trees, with DataFrame functions only.
 
 Strict rules give the base spans of e-mail addresses, IP addresses, payment cards and phone
-numbers. Loose generators propose further, overlapping candidates. Gradient-boosted trees,
-fitted to tell candidates that a strict rule confirms by format and context, score the rest;
-a threshold calibrated for precision selects what is redacted beside the base spans.
+numbers. Loose generators propose further candidates that overlap those and each other. Of
+what they propose, gradient-boosted trees pick the rest by format and context. They learn from
+spans that a rule confirms, each also rewritten so that no rule confirms it (another separator,
+an accent, ``(at)``), against candidates that no span of their kind touches. A threshold for
+each kind, calibrated on the documents that the trees haven't seen, selects what is added.
+
+Matches become rows at once: their places are running sums over windows, and overlaps are
+decided by sorted sweeps, so a text of many spans costs no more a span than one of few.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrill.llm.common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-#: As the plain rules, but a run is tried from its start only, and a card from 13 digits on: the
-#: same matches without quadratic search.
+#: As the plain rules, but a run is tried from its start only, a card from 13 digits on, and groups
+#: are possessive: the same matches without quadratic search or deep recursion.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Loose generators; their matches overlap those of the rules and each other's.
+#: Generators that keep to usual groupings, so that they find what a rule loses in a longer run.
+TIGHT = {
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20./-][0-9]{4}){2}[\x20./-][0-9]{1,7})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20./-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+}
+#: Generators of high recall.
 LOOSE = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+ ?(?:@|[(\[]at[)\]]) ?[\p{L}\p{N}-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+ ?(?:@|[(\[]at[)\]]) ?[\p{L}\p{N}-]++(?: ?(?:\.|[(\[]dot[)\]]) ?[\p{L}\p{N}-]++)++",
     "ip": r"(?<![0-9.,])[0-9]++(?:[.,:][0-9]++){3}|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,22}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00|\()?[0-9][\x20()./0-9-]{6,18}[0-9](?![0-9])",
 }
+GENERATORS = (BASE, TIGHT, LOOSE)
 #: Cheap tests that a text must pass before a pattern is tried.
 HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.,:][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9](?:[\x20./-]?[0-9]){11}", "phone": r"[0-9][\x20()./0-9-]{6}"}
-#: Documents whose candidates train the trees at most, those with the smallest hash of their id; share of right ones among the selected.
-SAMPLE, PRECISION = 20_000, 0.99
-TREES, DEPTH = 8, 3
-FEATURES = ["kind", "length", "digits", "letters", "seps", "groups", "longest", "plus", "at", "dots", "luhn", "octets", "kinds_of_digit", "cue", "quoted", "before_word", "after_word"]
+#: Documents whose candidates train the trees at most, those with the smallest hash of their id in one half;
+#: all of the other half calibrate. Share of right ones among the selected there.
+SAMPLE, PRECISION = 20_000, 0.98
+TREES, DEPTH = 10, 4
+#: Examples of a leaf at least: a candidate counts as wrong while no rule confirms it, so one alone must not make a leaf.
+LEAF = 10
+FEATURES = ["kind", "length", "digits", "letters", "seps", "groups", "longest", "at", "dots", "luhn", "octets", "kinds_of_digit", "cue", "quoted", "before_word", "after_word", "cross"]
 _CUES = r"(?i)(?:tel|phone|call|fax|mobile|contact|card|visa|account|mail|write|ip|host|addr|server)[^\p{L}\p{N}]{0,4}$"
 
 
@@ -61,148 +74,164 @@ def _octets(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), small)
 
 
-def _valid(kind: str, m: Column) -> Column:
-    n = F.length(_digits(m))
-    if kind == "ip":
-        return _octets(m)
-    if kind == "card":
-        return n.between(13, 19) & luhn(_digits(m))
-    return n.between(9, 15) if kind == "phone" else F.lit(True)
-
-
-def _any(m: Column) -> Column:
-    return F.lit(True)
-
-
-_SPAN = "struct<start:int,end:int,m:string,before:string,after:string>"
-
-
-def _found(pieces: str, matches: str, keep) -> Column:
-    """Spans from the matches and the pieces between them: a running sum of lengths gives their places."""
-    n = F.size(matches)
-    rows = F.arrays_zip(F.col(matches).alias("m"), F.slice(pieces, F.lit(1), n).alias("b"), F.slice(pieces, F.lit(2), n).alias("a"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+def _valid(kind: Column, m: Column) -> Column:
+    """Whether a match of the strict rule counts."""
+    d = _digits(m)
+    n = F.length(d)
+    card = F.when(n.between(13, 19), luhn(d)).otherwise(False)
+    return F.when(kind == 0, True).when(kind == 1, _octets(m)).when(kind == 2, card).otherwise(n.between(9, 15))
 
-    def step(acc: Column, x: Column) -> Column:
-        m, b, a = x["m"], x["b"], x["a"]
-        start = acc["at"] + F.char_length(b)
-        end = start + F.char_length(m)
-        span = F.struct(start.alias("start"), end.alias("end"), m.alias("m"), F.right(b, F.lit(16)).alias("before"), F.left(a, F.lit(2)).alias("after"))
-        return F.struct(end.alias("at"), F.when(keep(m), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(n > 0, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+_MATCH = "array<struct<kind:int,gen:int,i:int,m:string,before:string,after:string,gap:int,len:int>>"
 
 
-def spans(docs: DataFrame, text: str, patterns: dict[str, str], prefix: str, strict: bool) -> DataFrame:
-    """docs with one array of spans a kind: leftmost, non-overlapping, in code points."""
+def _matches(docs: DataFrame) -> DataFrame:
+    """One row a match and generator, and one (kind -1) a document: _uid, _id, kind, gen, start, end, m, before, after."""
     none = F.array().cast("array<string>")
+    runs = [(n, g, f"_{g}{k}", k, patterns[k]) for g, patterns in enumerate(GENERATORS) for n, k in enumerate(KINDS) if k in patterns]
     d = docs
-    for k, p in patterns.items():
-        d = d.withColumn(f"{prefix}{k}_m", F.when(F.col(text).rlike(HINT[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none))
-    for k, p in patterns.items():
-        d = d.withColumn(f"{prefix}{k}_p", F.when(F.size(f"{prefix}{k}_m") > 0, F.split(text, p, -1)).otherwise(none))
-    out = [_found(f"{prefix}{k}_p", f"{prefix}{k}_m", partial(_valid, k) if strict else _any).alias(f"{prefix}{k}") for k in patterns]
-    return d.select(*docs.columns, *out)
-
-
-def _candidates(docs: DataFrame) -> DataFrame:
-    """docs(_uid, _id, _t) with base (kind number, start, end) and cands (those and context)."""
-    d = spans(docs, "_t", BASE, "b_", True)
-    d = spans(d, "_t", LOOSE, "l_", False)
-
-    def tagged(prefix: str, fields) -> Column:
-        return F.concat(*[_tag(f"{prefix}{k}", n, fields) for n, k in enumerate(KINDS)])
-
-    base = tagged("b_", lambda x: [x["start"].alias("start"), x["end"].alias("end")])
-    cands = tagged("l_", lambda x: [x[c].alias(c) for c in ("start", "end", "m", "before", "after")])
-    return d.select("_uid", "_id", base.alias("base"), cands.alias("cands"))
-
-
-def _tag(column: str, n: int, fields) -> Column:
-    return F.transform(column, lambda x: F.struct(F.lit(n).alias("kind"), *fields(x)))
+    for k in KINDS:
+        d = d.withColumn(f"_h{k}", F.col("_t").rlike(HINT[k]))
+    for _, _, c, k, p in runs:
+        d = d.withColumn(f"{c}_m", F.when(F.col(f"_h{k}"), F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(none))
+    for _, _, c, _, p in runs:
+        d = d.withColumn(f"{c}_p", F.when(F.size(f"{c}_m") > 0, F.split("_t", p, -1)).otherwise(none))
+
+    def rows(n: int, g: int, c: str) -> Column:
+        """Matches with the pieces of text around them."""
+        size = F.size(f"{c}_m")
+        zipped = F.arrays_zip(F.col(f"{c}_m").alias("m"), F.slice(f"{c}_p", F.lit(1), size).alias("b"), F.slice(f"{c}_p", F.lit(2), size).alias("a"))
+        one = lambda x, i: F.struct(F.lit(n).alias("kind"), F.lit(g).alias("gen"), i.alias("i"), x["m"].alias("m"), F.right(x["b"], F.lit(16)).alias("before"), F.left(x["a"], F.lit(2)).alias("after"), F.char_length(x["b"]).alias("gap"), F.char_length(x["m"]).alias("len"))
+        return F.when(size > 0, F.transform(zipped, one)).otherwise(F.array().cast(_MATCH))
+
+    each = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("gen"), F.lit(0).alias("i"), *[F.lit(None).cast("string").alias(c) for c in ("m", "before", "after")], F.lit(0).alias("gap"), F.lit(0).alias("len")))
+    d = d.select("_uid", "_id", F.concat(each, *[rows(n, g, c) for n, g, c, _, _ in runs]).alias("_rows")).select("_uid", "_id", F.inline_outer("_rows"))
+    so_far = W.partitionBy("_uid", "kind", "gen").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    d = d.repartition("_uid").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int"))
+    return d.select("_uid", "_id", "kind", "gen", (F.col("end") - F.col("len")).alias("start"), "end", "m", "before", "after")
+
+
+def _touches(rows: DataFrame, which: Column, by: list[str], name: str) -> DataFrame:
+    """rows with whether any row that `which` tells, among those equal in `by`, overlaps it."""
+    # a sweep: telling rows come at their start, others at their end; the furthest end so far decides
+    sweep = W.partitionBy(*by).orderBy(F.when(which, F.col("start")).otherwise(F.col("end")), F.when(which, 1).otherwise(0)).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(name, ~which & F.coalesce(F.max(F.when(which, F.col("end"))).over(sweep) > F.col("start"), F.lit(False)))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """docs(_uid, _id, _t) as rows of matches with flags: base (a strict match that counts), inside
+    (within a base span), own (touches a base span of its kind), unsure (touches a strict match of
+    its kind that doesn't count and isn't the same span), cross (touches a base span of another kind)."""
+    d = _matches(docs).withColumn("base", F.when(F.col("gen") == 0, _valid(F.col("kind"), F.col("m"))).otherwise(False))
+    d = d.withColumn("_failed", (F.col("gen") == 0) & ~F.col("base"))
+    d = _touches(d, F.col("base"), ["_uid", "kind"], "own")
+    d = _touches(d, F.col("base"), ["_uid"], "cross").withColumn("cross", F.col("cross") & ~F.col("own"))
+    d = _touches(d, F.col("_failed"), ["_uid", "kind"], "unsure")
+    itself = F.max("_failed").over(W.partitionBy("_uid", "kind", "start", "end"))
+    d = d.withColumn("unsure", F.col("unsure") & ~itself)
+    within = W.partitionBy("_uid").orderBy("start", F.when(F.col("base"), 0).otherwise(1)).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn("inside", ~F.col("base") & F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(within) >= F.col("end"), F.lit(False))).drop("_failed")
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """Format and context figures of a candidate c, and whether a rule confirms it."""
-    m, before, after = F.col("c.m"), F.col("c.before"), F.col("c.after")
+    """Format and context figures of a match."""
+    m, before, after = F.col("m"), F.col("before"), F.col("after")
     d = _digits(m)
     groups = F.array_remove(F.split(m, "[^0-9]+"), "")
     num = {
-        "kind": F.col("c.kind"), "length": F.char_length(m), "digits": F.length(d), "letters": F.length(F.regexp_replace(m, r"[^\p{L}]", "")), "seps": F.length(F.regexp_replace(m, r"[\p{L}\p{N}]", "")),
-        "groups": F.size(groups), "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "plus": m.startswith("+").cast("int"), "at": F.contains(m, F.lit("@")).cast("int"),
+        "kind": F.col("kind"), "length": F.char_length(m), "digits": F.length(d), "letters": F.length(F.regexp_replace(m, r"[^\p{L}]", "")), "seps": F.length(F.regexp_replace(m, r"[\p{L}\p{N}]", "")),
+        "groups": F.size(groups), "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "at": m.rlike(r"@|[(\[]at[)\]]").cast("int"),
         "dots": F.length(F.regexp_replace(m, r"[^.]", "")), "luhn": ((F.length(d) > 0) & luhn(d)).cast("int"), "octets": (F.size(groups) == 4).cast("int") * _octets(F.concat_ws(".", groups)).cast("int"),
-        "kinds_of_digit": F.size(F.array_distinct(F.split(d, ""))), "cue": before.rlike(_CUES).cast("int"), "quoted": before.rlike("[\"'=:]\\s*$").cast("int"),
-        "before_word": before.rlike(r"[\p{L}\p{N}]$").cast("int"), "after_word": after.rlike(r"^[\p{L}\p{N}]").cast("int"),
+        "kinds_of_digit": F.size(F.array_distinct(F.split(d, ""))), "cross": F.col("cross").cast("int"), "cue": before.rlike(_CUES).cast("int"), "quoted": before.rlike("[\"'=:]\\s*$").cast("int"),
+        "before_word": before.rlike(r"\p{L}$").cast("int"), "after_word": after.rlike(r"^\p{L}").cast("int"),
     }
-    same = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
-    return rows.select("*", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"_{k}") for k, v in num.items()], same.cast("double").alias("_label"))
+    rows = rows.select("*", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"_{k}") for k, v in num.items()])
+    return VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_x").transform(rows).drop(*[f"_{k}" for k in FEATURES])
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=[f"_{k}" for k in FEATURES], outputCol="_x").transform(rows)
+def _rewritten(kind: Column, m: Column) -> Column:
+    """A span of one's kind in a writing that its strict rule doesn't confirm."""
+    email = F.when(F.length(m) % 2 == 0, F.regexp_replace(m, "@", " (at) ")).otherwise(F.translate(m, "aeio", "áéíó"))
+    ip = F.regexp_replace(m, r"\.", ",")
+    card = F.when(m.rlike("[ -]"), F.regexp_replace(m, "[ -]", ".")).otherwise(F.regexp_replace(m, "([0-9]{4})(?=[0-9])", "$1."))
+    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(F.regexp_replace(m, r"^\+", "00"))
+
+
+def _examples(found: DataFrame) -> DataFrame:
+    """Labelled matches: confirmed spans and their other writings (1), candidates that touch none of
+    their kind nor a longer or shorter strict match that failed, which may hold one (0)."""
+    c = ["_o", "kind", "before", "after", "cross"]
+    right = found.filter("base").select(*c, "m")
+    other = right.select(*c, _rewritten(F.col("kind"), F.col("m")).alias("m"))
+    wrong = found.filter("gen > 0 AND NOT own AND NOT unsure").select(*c, "m")
+    return right.unionByName(other).withColumn("_label", F.lit(1.0)).unionByName(wrong.withColumn("_label", F.lit(0.0)))
 
 
 def _score(model, rows: DataFrame) -> DataFrame:
-    return model.transform(_assembled(rows)).withColumn("_p", F.get(vector_to_array("probability"), F.lit(1)))
+    return model.transform(_features(rows)).withColumn("_p", F.get(vector_to_array("probability"), F.lit(1)))
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, precision: float = PRECISION):
-    """(trees, threshold), or None where the sampled candidates are of one class. docs: _id, _t.
+def train(found: DataFrame, *, sample: int = SAMPLE, precision: float = PRECISION):
+    """(trees, {kind number: threshold}), or None where the examples to learn from are of one class.
 
-    Half of the sampled documents fit the trees; the other half set the least threshold at which
-    the share of confirmed candidates among the selected is at least `precision`.
+    found: the written rows of `candidates` with _o, a hash of the document. A kind without a
+    threshold at which the share of right ones among the selected is at least `precision` has none,
+    and adds nothing.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
-    ids = scratch.table(docs.select("_id").filter("_id IS NOT NULL").distinct().withColumn("_o", F.xxhash64("_id", F.lit("pii"))).orderBy("_o", "_id").limit(sample), "ids")
-    some = docs.join(F.broadcast(ids.withColumnRenamed("_id", "_i")), F.col("_id") == F.col("_i")).select(F.lit(0).alias("_uid"), "_id", "_o", "_t")
-    rows = _candidates(some.select("_uid", F.col("_o").alias("_id"), "_t")).select("_id", "base", F.explode("cands").alias("c"))
-    rows = scratch.table(_features(rows).select("_label", (F.pmod("_id", F.lit(2)) == 0).alias("_fit"), *[f"_{k}" for k in FEATURES]), "candidates")
-    classes = rows.filter("_fit").groupBy("_label").count().collect()
-    if len(classes) < 2:
+    rows = _examples(found)
+    fit = F.pmod(F.col("_o"), F.lit(2)) == 0
+    ends = rows.filter(fit).select("_o").distinct().orderBy("_o").limit(sample).agg(F.max("_o")).first()[0]
+    if ends is None:
         return None
-    gbt = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=1, cacheNodeIds=False)
-    model = gbt.fit(_assembled(rows.filter("_fit")))
-    steps = _score(model, rows.filter("NOT _fit")).groupBy(F.floor(F.col("_p") * 200).alias("s")).agg(F.count("*").alias("n"), F.sum("_label").alias("y")).orderBy(F.desc("s")).collect()  # 201 rows at most
-    scratch.drop(ids, rows)
-    n = y = 0.0
-    best = None
-    for r in steps:
-        n, y = n + r["n"], y + r["y"]
-        if y >= precision * n:
-            best = r["s"] / 200
-    return None if best is None else (model, max(best, 0.5))
+    some = rows.filter(fit & (F.col("_o") <= ends))
+    if some.select("_label").distinct().count() < 2:
+        return None
+    gbt = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, minInstancesPerNode=LEAF, seed=1, cacheNodeIds=False)
+    model = gbt.fit(_features(some).select("_x", "_label"))
+    steps = _score(model, rows.filter(~fit)).groupBy("kind", F.floor(F.col("_p") * 200).alias("s")).agg(F.count("*").alias("n"), F.sum("_label").alias("y")).orderBy("kind", F.desc("s")).collect()  # 4 x 201 rows at most
+    best: dict[int, float] = {}
+    for kind in range(len(KINDS)):
+        n = y = 0.0
+        own = [r for r in steps if r["kind"] == kind]
+        for r, after in zip(own, [*own[1:], None]):
+            n, y = n + r["n"], y + r["y"]
+            if r["y"] and y >= precision * n:  # half way to the next lower score that any example has
+                best[kind] = (r["s"] + (after["s"] + 1 if after else 0)) / 400
+    return model, best
 
 
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
     and found, an array of (kind, start, end) in code points, end exclusive.
 
-    Null and empty texts have no spans. Where no candidate of the sample is confirmed, the base
-    spans are all. A selected candidate that overlaps a base span, or one before it of its kind,
-    adds nothing. Repeated rows and null ids are reported each; extra columns are ignored.
+    Null and empty texts have no spans. Where the candidates are all confirmed or none is, the base
+    spans are all. A selected candidate within a base span adds nothing; one that reaches beyond it
+    is added beside it. Of selected candidates that overlap, those of the tight
+    generators stay. Repeated rows and null ids are reported each; extra columns are ignored.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    trained = train(src, **options)
-    rows = _candidates(src.withColumn("_uid", F.monotonically_increasing_id()))
-    alone = F.filter("cands", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    if trained is None:
-        per = rows.select("_id", "base", F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("more"))
-    else:
-        each = rows.select("_uid", "_id", "base", F.explode_outer(alone).alias("c"))
-        scored = _score(trained[0], _features(each))
-        picked = F.when((F.col("_p") >= trained[1]) & F.col("c").isNotNull(), F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end")))
-        per = scored.groupBy("_uid").agg(F.first("_id").alias("_id"), F.first("base").alias("base"), F.array_sort(F.collect_set(picked)).alias("more"))
-
-    def code(a: Column) -> Column:
+    scratch = Scratch(docs.sparkSession, "pii")
+    src = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_uid", F.monotonically_increasing_id())
+    found = scratch.table(candidates(src), "matches")
+    trained = train(found.filter("kind >= 0").withColumn("_o", F.xxhash64(F.coalesce("_id", "_uid"), F.lit("pii"))), **options)
+    span = F.struct("kind", "start", "end")
+    base = found.filter("kind < 0 OR base").select("_uid", "_id", F.when(F.col("base"), span).alias("b"), F.when(F.col("base"), span).alias("x"))
+    if trained is not None:
+        model, best = trained
+        least = F.element_at(F.array(*[F.lit(best.get(k, 2.0)) for k in range(len(KINDS))]), F.col("kind") + 1)
+        picked = _score(model, found.filter("gen > 0 AND NOT inside")).filter(F.col("_p") >= least).select("_uid", "_id", "kind", "gen", "start", "end")
+        picked = _touches(picked, F.col("gen") == 1, ["_uid"], "_double").filter(~F.col("_double"))
+        base = base.unionByName(picked.select("_uid", "_id", F.lit(None).cast("struct<kind:int,start:int,end:int>").alias("b"), span.alias("x")))
+    per = base.groupBy("_uid").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list("b")).alias("base"), F.array_sort(F.collect_set("x")).alias("all"))
+
+    def code(a: str) -> Column:
         name = lambda n: F.element_at(F.array(*map(F.lit, KINDS)), n + 1)
         return F.concat_ws(",", F.transform(a, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
     def count(n: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}")
 
-    per = per.withColumn("all", F.array_sort(F.array_distinct(F.concat("base", "more"))))
     return per.select(
-        F.col("_id").alias("doc_id"), *[count(n) for n in range(4)], F.sha2(code(F.array_sort("base")).cast("binary"), 256).alias("base_sha256"), code(F.col("all")).alias("spans"),
+        F.col("_id").alias("doc_id"), *[count(n) for n in range(4)], F.sha2(code("base").cast("binary"), 256).alias("base_sha256"), code("all").alias("spans"),
         F.transform("all", lambda x: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"),
     )
 
