@@ -495,6 +495,54 @@ def test_toxicity(spark):
     assert {i: round(r["score"], 9) for i, r in again.items()} == {i: round(r["score"], 9) for i, r in got.items()}
 
 
+def test_toxicity_models_are_kneser_ney(spark):
+    """Every word's ratio against plain dictionaries, rare words and copies included."""
+    rnd = random.Random(19)
+    texts = [prose(rnd, rnd.randint(1, 60), 90) + (" foul" if i % 3 == 0 else "") for i in range(240)]
+    texts += [texts[0]] * 9 + [None, "", "Solo", "É é"]
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))]
+    learn = [i for i in range(240) if 0 < fold[i] < 4]
+    half = len(learn) // 2
+    toxic = {i: int(k < half) for k, i in enumerate(learn[: 2 * half])}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), labels)
+    before = [{}, {}]
+    for i, y in toxic.items():
+        for u, w in zip([None, *WORD.findall(low(texts[i]))], WORD.findall(low(texts[i]))):
+            before[y].setdefault(w, set()).add(u)
+    left_over = lambda y, d: sum(min(len(x), d) for x in before[y].values()) / sum(map(len, before[y].values()))
+    places = {}
+    for t in texts:
+        for w in WORD.findall(low(t)):
+            places[w] = places.get(w, 0) + 1
+    all_places = sum(places.values())
+    d = next(x for x in toxicity.DISCOUNTS if np.isclose(model.other, np.log(left_over(1, x) / left_over(0, x))))  # the one that calibration chose
+
+    def prob(y, w):
+        n = sum(map(len, before[y].values()))
+        return max(len(before[y].get(w, ())) - d, 0) / n + left_over(y, d) * (places.get(w, 0) + 1) / (all_places + len(places) + 1)
+
+    got, bounds = model.ratios([(t or "").encode() for t in [*texts, "never seen"]])
+    words = [WORD.findall(low(t)) for t in [*texts, "never seen"]]
+    assert bounds.tolist() == np.cumsum([0] + [len(w) for w in words]).tolist()
+    assert np.allclose(got, [np.log(prob(1, w) / prob(0, w)) for ws in words for w in ws])
+    x = model.features([(t or "").encode() for t in texts])
+    for t, row in zip(texts, x):
+        r = [float(np.log(prob(1, w) / prob(0, w))) for w in WORD.findall(low(t))]
+        k = min(len(r), toxicity.PASSAGE)
+        best = max((np.mean(r[i : i + k]) for i in range(len(r) - k + 1)), default=0.0) if r else 0.0
+        assert np.allclose(row, [np.mean(r) if r else 0.0, best])
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    texts, toxic = labelled(random.Random(9), 400)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rnd = random.Random(20)
+    more = [prose(rnd, 200_000, 800), prose(rnd, 100_000, 800) + " vile foul nasty " + prose(rnd, 100_000, 800), "vile foul nasty", "vile foul nasty"]
+    rows = toxicity.score_toxicity(docs(spark, texts + more, [*range(400), 1000, 1001, 1002, 1002]), labels).filter("doc_id >= 1000").collect()
+    assert sorted((r["doc_id"], r["predicted"]) for r in rows) == [(1000, 0), (1001, 1), (1002, 1), (1002, 1)]
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs(spark, []), none).count() == 0
