@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +71,20 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterable, rows: int = 1000) -> Iterator:
-    """Arrow batches of fewer rows: what is built over all their words stays small."""
+    """Arrow batches of fewer rows: what is built over all their words stays small. At the end of a
+    task the worker, which later tasks use again, gives its free memory back."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def ascii_lower(text: Column) -> Column:

@@ -20,8 +20,10 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(9, 14), 32]] = _SPACE
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _PUNCT
-#: Entries of the memo, about 50 bytes each; beyond it the memo starts anew. It has no effect on results.
-MEMO = 1_000_000
+#: Entries of the memo, about 40 bytes each; beyond it the memo starts anew. It has no effect on results.
+MEMO = 600_000
+#: Bytes of its units, likewise.
+MEMO_BYTES = 1 << 26
 #: Bytes worked on at a time.
 BLOCK = 2_000_000
 
@@ -84,7 +86,7 @@ class _Memo:
 
     def __init__(self, dtype: np.dtype):
         self.keys = np.empty(0, np.uint64)
-        self.at = np.empty((4, 0), np.int64)  # ids' offset and count, bytes' offset and count
+        self.at = np.empty((4, 0), np.int32)  # ids' offset and count, bytes' offset and count
         self.ids, self.raw = np.empty(1 << 16, dtype), np.empty(1 << 16, np.uint8)
         self.n_ids = self.n_raw = 0
 
@@ -97,7 +99,7 @@ class _Memo:
 
     def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
         """keys ascending and unseen."""
-        at = np.array([self.n_ids + np.cumsum(counts) - counts, counts, self.n_raw + np.cumsum(sizes) - sizes, sizes])
+        at = np.array([self.n_ids + np.cumsum(counts) - counts, counts, self.n_raw + np.cumsum(sizes) - sizes, sizes], np.int32)
         self.ids, self.n_ids = self._append(self.ids, self.n_ids, ids), self.n_ids + len(ids)
         self.raw, self.n_raw = self._append(self.raw, self.n_raw, raw), self.n_raw + len(raw)
         keys = np.concatenate([self.keys, keys])
@@ -162,7 +164,7 @@ class Encoder:
         return np.concatenate(flat), np.array(counts, np.int64)
 
     def _learn(self, raw: bytes, buf: np.ndarray, keys: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
-        if len(self.memo.keys) > MEMO:
+        if len(self.memo.keys) > MEMO or self.memo.n_raw > MEMO_BYTES:
             self.memo = _Memo(self.dtype)
         space = _CLASS[buf[to - 1]] == _SPACE
         for some, is_space in ((space, True), (~space, False)):

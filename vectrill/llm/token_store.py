@@ -109,7 +109,7 @@ def _cutter(path: str, end_id: int):
                     docs.append((doc, b"".join(hashes), np.diff([0, *ends]).astype("<u4").tobytes(), stop - begin, merkle(hashes)))
                     begin, m0 = stop, m1
                 i = j
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 n, m = len(docs), len(chunks)
                 schema = schema or pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("lens", pa.binary()), ("n", pa.int64()), ("root", pa.binary()), ("hash", pa.binary()), ("ids", pa.binary())])
@@ -121,14 +121,13 @@ def _cutter(path: str, end_id: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of a partition, which holds all of a digest, passes each chunk on once."""
-    seen: set[bytes] = set()
+    """Of the rows of a partition, which holds all of a digest and is sorted by it, passes each chunk on once."""
+    last = None
     for batch in batches:
         keep = []
         for h in batch.column("hash").to_pylist():
-            keep.append(h is None or h not in seen)
-            if h is not None:
-                seen.add(h)
+            keep.append(h is None or h != last)
+            last = h
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -143,7 +142,7 @@ def write_store(docs: DataFrame, folder: str, *, end_id: int = 2, tokenizer: str
     path = tokenizer or tokenizer_path()
     parts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cutter(path, end_id), PARTS)
     key = F.coalesce("hash", F.concat("root", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    parts.repartition(key).mapInArrow(_once, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
+    parts.repartition(key).sortWithinPartitions("hash").mapInArrow(_once, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
     scratch = Scratch(spark, "token-ranges")
     recipes = _numbered(spark.read.schema(PARTS).parquet(f"{folder}/parts").filter("kind = 'doc'").select("doc_id", "hashes", "lens", "n", "root"), scratch)
     recipes.repartitionByRange("nth").sortWithinPartitions("nth").write.option("compression", "zstd").parquet(f"{folder}/recipes")

@@ -38,7 +38,7 @@ DISCOUNTS = (1.0, 2.0, 5.0, 10.0)
 #: Words of a passage.
 PASSAGE = 4
 #: Distinct words that a task counts before it passes them on.
-HOLD = 1_000_000
+HOLD = 250_000
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
