@@ -205,3 +205,33 @@ def test_streams(spark, tmp_path):
         out[name] = spark.table(name).collect()
     assert sorted((str(r[0]), r["n"], r["total"]) for r in out["w"]) == sorted((str(r[0]), r["n"], r["total"]) for r in tumbling(b, "ts", "v", "10 minutes").collect())
     assert max(r["n"] for r in out["d"] if r["k"] == 0) == 30
+
+
+def test_vec_join_in_blocks(spark, monkeypatch):
+    """Several cells and blocks, vectors of two lengths, nulls, ids repeated, pairs at distance zero."""
+    monkeypatch.setattr(S, "JOIN_BLOCK", 7)
+    rng = np.random.default_rng(12)
+    a = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(100, [1.0, 2.0]), (101, None), (102, [1.0, 2.5])]
+    b = [(i, rng.normal(size=3).tolist()) for i in range(80)] + [(7, a[0][1]), (200, [1.0, 2.0]), (201, None), (202, [])]
+    one, two = (spark.createDataFrame(x, "id long, v array<double>") for x in (a, b))
+    for pivots in (None, 4):
+        got = sorted((r[0], r[1], round(r[2], 9)) for r in S.vec_join(one, two, "v", "v", 0.7, pivots=pivots).collect())
+        want = sorted((i, j, round(float(np.linalg.norm(np.subtract(x, y))), 9)) for i, x in a for j, y in b if x and y and len(x) == len(y) and np.linalg.norm(np.subtract(x, y)) <= 0.7)
+        assert got == want and any(d == 0 for *_, d in got)
+
+
+def test_knn_batch_ties_and_blocks(spark):
+    rows = [(i, [float(i % 4), 0.0]) for i in range(40)] + [(50, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {(q, r + 1): i for q in (0, 1, 2, 3, 4, 5) for r, i in enumerate(sorted((i for i in range(40)), key=lambda i: (abs(i % 4 - q % 4), i))[:6])}
+    for block in (10_000, 2):
+        got = S.knn_batch(df, "v", df.filter("id < 6"), "v", 6, block=block).collect()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    assert S.knn_batch(df, "v", df.filter("id = 0"), "v", 100).count() == 40
+
+
+def test_multi_vector_ways(spark):
+    from vectrill.operators.search import combined
+
+    df = spark.createDataFrame([(1.0, 3.0)], "a double, b double")
+    assert df.select(*[combined([F.col("a"), F.col("b")], h) for h in ("max", "min", "avg")]).first()[:] == (3.0, 1.0, 2.0)

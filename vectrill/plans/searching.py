@@ -31,7 +31,7 @@ def doc_vectors(spark, sf_dir):
     return d.join(e, F.expr("pmod(doc_id, nullif(_n, 0))") == F.col("id")).drop("_n")
 
 
-_DV = f"(SELECT doc_id AS id, text, lang, source, label, {_E} AS e, {_TOK} AS w FROM documents JOIN embeddings ON doc_id = vec_id)"
+_DV = f"(SELECT doc_id AS id, text, lang, source, label, {_E} AS e, {_TOK} AS w FROM documents CROSS JOIN (SELECT count(*) AS n FROM embeddings) JOIN embeddings ON doc_id % n = vec_id)"
 _RANK = "(len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'and')) + len(list_filter(w, lambda x: x = 'license'))) / (len(w) + 1)"
 
 
@@ -63,23 +63,25 @@ def faceted_search(spark, sf_dir):
     return S.faceted(emb(spark, sf_dir), "embedding", PROBE, "label", 3, id_col="vec_id").withColumn("score", r6(F.col("score")))
 
 
-_EV = f"(SELECT vec_id AS id, {_E} AS e, ts, user_id, date_diff('second', ts, TIMESTAMP '{NOW}') / 86400.0::DOUBLE AS age FROM embeddings JOIN (SELECT event_id, date_trunc('second', ts) AS ts, user_id FROM events) ON event_id = vec_id)"
+_EV = f"(SELECT event_id AS id, {_E} AS e, ts, user_id, date_diff('second', ts, TIMESTAMP '{NOW}') / 86400.0::DOUBLE AS age FROM (SELECT event_id, date_trunc('second', ts) AS ts, user_id FROM events) CROSS JOIN (SELECT count(*) AS n FROM embeddings) JOIN embeddings ON event_id % n = vec_id)"
 
 
 def event_vectors(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return emb(spark, sf_dir).join(ev, F.col("vec_id") == F.col("event_id"))
+    """Every event with the vector of its number modulo the number of vectors."""
+    e = emb(spark, sf_dir).select("vec_id", "embedding")
+    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id").crossJoin(F.broadcast(e.agg(F.count("*").alias("_n"))))  # one row
+    return ev.join(e, F.expr("pmod(event_id, nullif(_n, 0))") == F.col("vec_id")).drop("_n")
 
 
 @query("temporal_search", f"SELECT id, round(score, 6) + 0.0 AS score FROM (SELECT id, (1 - list_distance(e, {PROBE_SQL})) * exp(-0.01 * age) AS score FROM {_EV}) ORDER BY score DESC, id LIMIT 10")
 def temporal_search(spark, sf_dir):
-    return S.temporal_search(event_vectors(spark, sf_dir), "embedding", PROBE, "ts", NOW, 10, id_col="vec_id").select("id", r6(F.col("score")).alias("score"))
+    return S.temporal_search(event_vectors(spark, sf_dir), "embedding", PROBE, "ts", NOW, 10, id_col="event_id").select("id", r6(F.col("score")).alias("score"))
 
 
 @query("temporal_score", f"SELECT id, round(0.5 / (1 + list_distance(e, {PROBE_SQL})) + 0.5 * exp(-0.1 * age), 6) + 0.0 AS score, round(exp(-0.1 * age), 6) + 0.0 AS decay, age <= 14 AS recent FROM {_EV}")
 def temporal_score(spark, sf_dir):
     d = event_vectors(spark, sf_dir)
-    return d.select(F.col("vec_id").alias("id"), r6(S.temporal_score(V.l2_distance("embedding", PROBE), "ts", NOW)).alias("score"), r6(S.temporal_decay("ts", NOW, 0.1)).alias("decay"), S.temporal_filter("ts", NOW, 14).alias("recent"))
+    return d.select(F.col("event_id").alias("id"), r6(S.temporal_score(V.l2_distance("embedding", PROBE), "ts", NOW)).alias("score"), r6(S.temporal_decay("ts", NOW, 0.1)).alias("decay"), S.temporal_filter("ts", NOW, 14).alias("recent"))
 
 
 @query("tenant_search", f"SELECT id, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id AS id, list_distance({_E}, {PROBE_SQL}) AS d FROM embeddings WHERE label = 3) ORDER BY d, id LIMIT 10")
@@ -100,11 +102,12 @@ def semantic_keyword(spark, sf_dir):
 
 @query("multi_vector_search", f"SELECT id, how, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY how ORDER BY score DESC, id) AS rn FROM (SELECT vec_id AS id, unnest(['max', 'min', 'avg']) AS how, unnest([greatest(a, b), least(a, b), (a + b) / 2]) AS score FROM (SELECT vec_id, 1 - list_distance({_E}, {PROBE_SQL}) AS a, 1 - list_distance({_E}, {OTHER_SQL}) AS b FROM embeddings))) WHERE rn <= 10")
 def multi_vector_search(spark, sf_dir):
-    out = None
-    for how in ("max", "min", "avg"):
-        x = S.multi_vector(emb(spark, sf_dir), "embedding", [PROBE, OTHER], how, 10, id_col="vec_id").select("id", F.lit(how).alias("how"), r6(F.col("score")).alias("score"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """The three ways share one scan: both scores are computed once and each way ranks them."""
+    d = emb(spark, sf_dir).select("vec_id", *[(1 - V.l2_distance("embedding", q)).alias(c) for q, c in ((PROBE, "a"), (OTHER, "b"))])
+    ways = F.array(*[F.struct(F.lit(how).alias("how"), S.combined([F.col("a"), F.col("b")], how).alias("score")) for how in ("max", "min", "avg")])
+    rank = F.row_number().over(W.partitionBy("how").orderBy(F.desc("score"), "id"))
+    rows = d.select(F.col("vec_id").alias("id"), F.inline(ways)).filter("score IS NOT NULL")
+    return rows.withColumn("rank", rank).filter("rank <= 10").select("id", "how", r6(F.col("score")).alias("score"))
 
 
 @query("metadata_search", "SELECT k, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM (SELECT CAST(props::JSON->>'k' AS VARCHAR) AS k, value FROM events) WHERE k IN ('1', '2') GROUP BY k")
