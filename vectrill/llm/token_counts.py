@@ -77,15 +77,18 @@ def _scan(folder: str, separator: int, width: int, block: int):
     return run
 
 
-def count_tokens(spark: SparkSession, folder: str, *, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, *, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES, names: DataFrame | None = None) -> DataFrame:
     """(file, nth, start, n_tokens) for each document of the flat files: its place among the
     file's documents, its first id's offset, and its ids without the separator.
 
-    An unclosed last document counts if it has ids; empty files have no documents. A file
+    names (file): only these are read, so that what a lost task left behind is not. An unclosed last
+    document counts if it has ids; empty files have no documents. A file
     whose size isn't a multiple of the width is an error.
     """
     block = block_bytes // width * width
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
+    if names is not None:
+        files = files.join(names.select("file").distinct(), "file", "left_semi")
     files = files.filter("size > 0").withColumn("size", F.when(F.col("size") % width == 0, F.col("size")).otherwise(F.raise_error(F.lit("a token file has a broken size"))))
     blocks = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("block"))
     found = blocks.repartition("file", "block").mapInArrow(_scan(folder, separator, width, block), "file string, block long, n long, ends long, head long, tail long, begin array<long>, inner array<long>")
@@ -120,7 +123,7 @@ def count_document_tokens(docs: DataFrame, *, separator: int | None = None, toke
     names = scratch.table(write_flat(docs, folder, separator=separator, tokenizer=path, doc_id=doc_id, text=text), "names")
     if names.isEmpty():
         return names.selectExpr("doc_id", "0L AS n_tokens", "file", "nth", "0L AS start")
-    counts = count_tokens(spark, folder, separator=separator, width=enc.dtype.itemsize)
+    counts = count_tokens(spark, folder, separator=separator, width=enc.dtype.itemsize, names=names)
     return names.join(counts, ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth", "start")
 
 
