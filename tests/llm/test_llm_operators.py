@@ -4,6 +4,7 @@ repeated rows, empty tables and clashing extra columns."""
 import hashlib
 import random
 import re
+import shutil
 import time
 import zlib
 
@@ -303,11 +304,28 @@ def test_damaged_store_is_refused(spark, tmp_path):
     token_store.write_store(docs(spark, ["hello world"]), folder)
     bad = spark.read.schema(token_store.PARTS).parquet(f"{folder}/parts").withColumn("ids", F.when(F.col("kind") == "chunk", F.unhex(F.lit("0100"))).otherwise(F.col("ids")))
     bad.write.partitionBy("kind").parquet(f"{tmp_path}/bad/parts")
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{tmp_path}/bad/recipes")
-    with pytest.raises(Exception, match="damaged"):
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{tmp_path}/bad/{part}")
+    with pytest.raises(Exception, match="chunk .* is damaged"):
         token_store.read_store(spark, f"file://{tmp_path}/bad").collect()
 
 
+def test_changed_recipes_are_refused(spark, tmp_path, monkeypatch):
+    """The manifest is a tree: a changed document changes its root, whatever the number of levels."""
+    monkeypatch.setattr(token_store, "RANGE", 4)
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(docs(spark, [f"text {i}" for i in range(70)]), folder)
+    levels = {r["level"]: r["n"] for r in spark.read.parquet(f"{folder}/manifest").groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert levels == {0: 18, 1: 5, 2: 2, 3: 1} and token_store.verify_manifest(spark, folder)
+    top = spark.read.parquet(f"{folder}/manifest").filter("level = 3").first()
+    assert top["documents"] == 70
+    for part in ("parts", "manifest"):
+        shutil.copytree(f"{tmp_path}/store/{part}", f"{tmp_path}/bad/{part}")
+    spark.read.parquet(f"{folder}/recipes").withColumn("root", F.when(F.col("nth") == 33, F.unhex(F.lit("00"))).otherwise(F.col("root"))).write.parquet(f"{tmp_path}/bad/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, f"file://{tmp_path}/bad")
+
+
 def test_empty_store(spark):
     assert token_store.encode_and_store(docs(spark, [])).count() == 0
 
@@ -348,6 +366,9 @@ def test_token_counts(spark, tmp_path):
             np.array(flat, "<u2").tofile(folder / f"{f}.ids")
         rows = token_counts.count_tokens(spark, str(folder), separator=9, block_bytes=rnd.choice([2, 6, 14])).select("file", "nth", "start", "n_tokens").collect()
         assert sorted(map(tuple, rows)) == sorted(want)
+    named = spark.createDataFrame([("0.ids",)], "file string")  # a file that a lost task left has no name
+    (tmp_path / "f0" / "left.ids").write_bytes(b"abc")
+    assert {r["file"] for r in token_counts.count_tokens(spark, str(tmp_path / "f0"), separator=9, names=named).collect()} <= {"0.ids"}
     (tmp_path / "odd").mkdir()
     (tmp_path / "odd" / "a.ids").write_bytes(b"abc")
     with pytest.raises(Exception, match="broken size"):

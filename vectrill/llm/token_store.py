@@ -5,7 +5,7 @@ digest; a recipe lists a document's chunks; Merkle roots of the recipes make the
 Reading back verifies every chunk's digest, every document's root and the manifest.
 
 Layout below one folder: ``parts/kind=chunk`` (digest, ids), ``recipes`` (in ascending doc_id
-order) and ``manifest``.
+order) and ``manifest`` (a tree of hashes over the documents' roots, up to one root).
 """
 
 from __future__ import annotations
@@ -169,11 +169,22 @@ def _numbered(recipes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """One row a range of RANGE documents: how many, their ids, and the hash over their roots in order."""
-    return recipes.groupBy(F.floor(F.col("nth") / RANGE).alias("range")).agg(
-        F.count("*").alias("documents"), F.sum("n").alias("ids"),
-        F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("nth", F.hex("root").alias("h")))), lambda x: x["h"])).cast("binary"), 256).alias("root"),
-    )
+    """A Merkle tree over the documents' roots in order, RANGE children a node: level 0 has a row for
+    RANGE documents, each level above one for RANGE rows of the one below, up to a single root."""
+
+    def above(rows: DataFrame, level: int) -> DataFrame:
+        leaves = F.transform(F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda x: x["root"])
+        one = rows.groupBy(F.floor(F.col("nth") / RANGE).alias("range")).agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.sha2(F.concat_ws("", leaves).cast("binary"), 256).alias("root"))
+        return one.select(F.lit(level).alias("level"), "range", "documents", "ids", "root")
+
+    n = recipes.count()
+    rows = above(recipes.select("nth", F.lit(1).cast("long").alias("documents"), F.col("n").alias("ids"), F.hex("root").alias("root")), 0)
+    out, level = rows, 0
+    while n > RANGE:
+        n, level = -(-n // RANGE), level + 1
+        rows = above(rows.select(F.col("range").alias("nth"), "documents", "ids", "root"), level)
+        out = out.unionByName(rows)
+    return out
 
 
 def _checked(width: int):
@@ -213,10 +224,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """Reads the store's files back: doc_id, start, n_tokens, ids_crc32 for each document.
 
-    Every chunk's digest is recomputed from its bytes, and every document's size and Merkle
-    root from its chunks; a difference is an error. Only chunk checksums are joined to the
+    The manifest is computed again from the recipes, every chunk's digest from its bytes, and every
+    document's size and Merkle root from its chunks; a difference is an error. Only chunk checksums are joined to the
     recipes, chunks that very many documents share by broadcast.
     """
+    if not verify_manifest(spark, folder):
+        raise ValueError("the store is damaged: its manifest isn't that of its recipes")
     chunks = spark.read.schema(PARTS).parquet(f"{folder}/parts").filter("kind = 'chunk'").select("hash", "ids").mapInArrow(_checked(width), "hash binary, crc long, size long")
     chunks = Scratch(spark, "token-store").table(chunks, "checksums")
     recipes = spark.read.parquet(f"{folder}/recipes")
