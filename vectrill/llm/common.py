@@ -20,10 +20,13 @@ _live: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a local session gets one of
+    its own; on a cluster it is an error, as other machines couldn't read that folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="vectrill-")
