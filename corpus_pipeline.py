@@ -3,6 +3,11 @@ passages go, domains are mixed to their target weights, and the rest is stored a
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Null and empty texts are neither toxic nor contaminated nor anyone's copies, and are stored as an end
+id; repeated rows with one id are one document to near_dedup and rows of their own elsewhere; an empty
+table gives an empty table; extra columns of documents come along. A stage deletes what the stage
+before it wrote beside its result, which by then is written: stages run one after another.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
+    """Keeps the document with the smallest id of each group of near-duplicates on five words."""
     clear_scratch(spark)  # the stage before is written
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, k=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
