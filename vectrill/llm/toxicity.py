@@ -11,9 +11,9 @@ contexts, not places, copies of one text count once. A document's log-likelihood
 by its length, and so are those of its passages of a few words, of which the most toxic one
 counts. Both figures are calibrated on labelled rows that the models haven't seen.
 
-This is Kneser-Ney's lower order. A level of word pairs above it was measured, with each
-class's own weights: what near copies of long texts have in common then outweighs the words, and
-of held-out toxic texts at sf0.1 it finds 0.06 where this finds 0.6.
+This is Kneser-Ney's lower order. A level of word pairs above it was tried, with each class's
+own weights: what near copies of long texts have in common then outweighs the words (figures
+in the README).
 """
 
 from __future__ import annotations
