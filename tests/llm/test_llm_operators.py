@@ -259,6 +259,21 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in root)
 
 
+def test_components_plans_stay_small(spark):
+    """The driver plans each round of stars from few readings of the edges, however the rounds go on."""
+    seen = []
+
+    class Watched(Scratch):
+        def table(self, df, name):
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+            return super().table(df, name)
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    got = components.components(links, Watched(spark, "t"))
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(i, 0) for i in range(1, 41)}
+    assert len(seen) > 4 and max(seen) <= 4
+
+
 # ---- tokens
 
 
@@ -595,6 +610,25 @@ def test_mixing(spark):
     assert mixing.mix(d, dom.limit(0))[0].count() == 402
 
 
+def test_mixing_sample_stays_off_the_driver(spark, monkeypatch):
+    """The classifier is fitted in a task, on all rows of the sample in the order of their ids; rows repeated with one id count each."""
+    texts = [" ".join(["kala maka", "sterk brood"][i % 2] for _ in range(3 + i % 5)) for i in range(60)]
+    ids = [(7 * i) % 59 for i in range(60)]
+    dom = spark.createDataFrame([(i, "xy"[i % 3 == 0]) for i in range(59)], "doc_id long, domain string")
+    rows = [(i, "xy"[i % 3 == 0], mixing.features([t.encode()])[0][0].astype(np.float16)) for i, t in zip(ids, texts)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    want = mixing.fit(np.array([r[2] for r in rows], np.float32), np.array(["xy".index(r[1]) for r in rows]), ["x", "y"])
+
+    def refuse(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(mixing, "fit", refuse)
+    got = mixing.train(docs(spark, texts, ids), dom)
+    assert got.domains == want.domains and len(rows) == 60
+    for k in ("weights", "bias", "mean", "scale"):
+        assert getattr(got, k).shape == getattr(want, k).shape and np.allclose(getattr(got, k), getattr(want, k), atol=1e-4)
+
+
 def test_rates_solve_the_problem():
     """The steps reach what a direct solution of the same least squares gives."""
     rng = np.random.default_rng(1)

@@ -14,22 +14,27 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
     return lookup(edges, least, "u", F.col("_n") * HEAVY > total).drop("_n")
 
 
+def _pairs(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """Edges (u, v), one for each two columns named and each row, from one reading of the rows."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])))
+
+
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """links(a, b) of longs -> (node, root): root is the smallest node reachable.
 
-    Each round writes the edges to the shared folder, so lineage stays short. The loop ends
-    when a round changes nothing, after about log2 of the longest chain rounds.
+    Each round writes the edges to the shared folder, so lineage stays short: twice, as a plan of
+    both stars would read the edges 36 times and fill the driver. The loop ends when a round
+    changes nothing, after about log2 of the longest chain rounds.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = scratch.table(e, "edges")
     last, total = None, e.count()
     for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        small = _star(large.select("u", "v"), total)
-        small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        large = _star(_pairs(e, ("u", "v"), ("v", "u")), 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = scratch.table(large, "large")
+        small = _pairs(_star(large, total), ("u", "m"), ("v", "m")).filter("u != v").distinct()
         new = scratch.table(small, "edges")
-        scratch.drop(e)
+        scratch.drop(e, large)
         e = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:

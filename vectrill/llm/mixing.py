@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrill.llm.common import Scratch, fold, slices
+from vectrill.llm.common import Scratch, fold, release, slices
 
 #: Hashed byte pairs; labelled rows that train the classifier at most, by smallest hash of their id.
 FEATURES, SAMPLE = 1024, 8_000
@@ -82,6 +83,33 @@ def fit(x: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 300, pena
     return Classifier(domains, w, b, mean, scale)
 
 
+_FITTED = "domains array<string>, weights binary, bias binary, mean binary, scale binary"
+
+
+def _fit_sample(parts: list[pa.RecordBatch]) -> Classifier:
+    table = pa.Table.from_batches(parts)
+    place = np.empty(len(table), np.int64)
+    place[pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("_id", "domain", "x")]).to_numpy()] = np.arange(len(table))
+    names = sorted(set(table.column("domain").to_pylist()))
+    x, y, at = np.empty((len(table), FEATURES + 4), np.float32), np.empty(len(table), np.int64), 0
+    for p in parts:
+        to = place[at : at + p.num_rows]
+        x[to] = np.frombuffer(b"".join(p.column("x").to_pylist()), np.float16).reshape(-1, FEATURES + 4)
+        y[to] = [names.index(d) for d in p.column("domain").to_pylist()]
+        at += p.num_rows
+    return fit(x, y, names)
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classifier of the whole sample (_id, domain, x), in one task: the driver gets its weights only."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        c = _fit_sample(parts)
+        yield pa.record_batch({"domains": pa.array([c.domains], pa.list_(pa.string())), **{k: pa.array([getattr(c, k).astype(np.float32).tobytes()], pa.binary()) for k in ("weights", "bias", "mean", "scale")}})
+    del parts
+    release()
+
+
 def train(docs: DataFrame, domains: DataFrame, *, doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = SAMPLE) -> Classifier:
     """Fits on at most `sample` rows of docs that have a domain. Rows without id or domain are ignored."""
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -94,13 +122,13 @@ def train(docs: DataFrame, domains: DataFrame, *, doc_id: str = "doc_id", text:
             x, _ = features([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             yield pa.record_batch({"_id": batch.column("_id"), "domain": batch.column("domain"), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
 
-    got = rows.select(F.col("_id").cast("long").alias("_id"), "domain", "text").mapInArrow(run, "_id long, domain string, x binary").toArrow().sort_by([("_id", "ascending"), ("domain", "ascending")])
+    found = rows.select(F.col("_id").cast("long").alias("_id"), "domain", "text").mapInArrow(run, "_id long, domain string, x binary").repartition(1).mapInArrow(_fitted, _FITTED).collect()
     scratch.drop(picked)
-    names = sorted(set(got.column("domain").to_pylist()))
-    if not names:
+    if not found:
         return Classifier(["all"], np.zeros((FEATURES + 4, 1), np.float32), np.zeros(1, np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, FEATURES + 4).astype(np.float32)
-    return fit(x, np.array([names.index(d) for d in got.column("domain").to_pylist()]), names)
+    domains, *parts = found[0]
+    weights, bias, mean, scale = (np.frombuffer(bytes(v), np.float32) for v in parts)
+    return Classifier(domains, weights.reshape(-1, len(domains)), bias, mean, scale)
 
 
 def memberships(docs: DataFrame, classifier: Classifier, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
