@@ -1,5 +1,7 @@
 """Operators without SQL, against brute force; and edge cases of the others."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +237,30 @@ def test_multi_vector_ways(spark):
 
     df = spark.createDataFrame([(1.0, 3.0)], "a double, b double")
     assert df.select(*[combined([F.col("a"), F.col("b")], h) for h in ("max", "min", "avg")]).first()[:] == (3.0, 1.0, 2.0)
+
+
+def test_depth_first_search_walks_any_numbers_of_nodes_and_edges(spark, monkeypatch):
+    """No limit of edges unless given; sorted runs shorter than a node's neighbours, against a plain loop."""
+    monkeypatch.setattr(G, "RUN", 16)
+    rng = np.random.default_rng(5)
+    for scale in (1, -(10**12)):
+        pairs = [(int(a) * scale, int(b) * scale) for a, b in rng.integers(0, 60, (900, 2))] + [(0, i * scale) for i in range(90)]
+        near = {}
+        for a, b in sorted(set(pairs)):
+            near.setdefault(a, []).append(b)
+        clock, rows, seen = 1, {0: [1, 0, None]}, {0}
+        stack = [(0, iter(near[0]))]
+        while stack:
+            nxt = next((d for d in stack[-1][1] if d not in seen), None)
+            clock += 1
+            if nxt is None:
+                rows[stack.pop()[0]][1] = clock
+            else:
+                seen.add(nxt)
+                rows[nxt] = [clock, 0, stack[-1][0]]
+                stack.append((nxt, iter(near.get(nxt, []))))
+        assert {tuple(r) for r in G.dfs(spark.createDataFrame(pairs, "src long, dst long"), 0).collect()} == {(n, *v) for n, v in rows.items()}
+    star = spark.range(3000).select(F.lit(0).alias("src"), F.col("id").alias("dst"))
+    assert G.dfs(star, 0).agg(F.max("finish")).first()[0] == 6000 and inspect.signature(G.dfs).parameters["max_edges"].default is None
+    with pytest.raises(ValueError):
+        G.dfs(star, 0, max_edges=10)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,33 +83,105 @@ def modularity(edges: DataFrame, label: DataFrame) -> float:
     return inner - (x.groupBy("a").count().agg(F.sum((F.col("count") / m) ** 2)).first()[0] or 0.0)
 
 
-def dfs(edges: DataFrame, start: int, max_edges: int = 5_000_000) -> DataFrame:
-    """(node, discovery, finish, parent) in depth-first order, smaller neighbours first. The order is
-    serial by nature: one task walks the edges, of which at most max_edges are allowed."""
-    if edges.count() > max_edges:
-        raise ValueError(f"depth-first search walks at most {max_edges} edges in one task")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = pd.concat(list(batches))
-        near: dict[int, list[int]] = {}
-        for s, d in sorted(set(zip(e["src"].tolist(), e["dst"].tolist()))):
-            near.setdefault(s, []).append(d)
-        clock, rows, seen = 1, {start: [1, 0, None]}, {start}
-        stack = [(start, iter(near.get(start, [])))]
-        while stack:
-            node, it = stack[-1]
-            nxt = next((d for d in it if d not in seen), None)
+#: Neighbours that a row of a depth-first search's input holds at most.
+RUN = 1 << 20
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, n, low, high, dsts): sorted edges, each once, as one row a source and batch, its neighbours' numbers as bytes."""
+    last = None
+    for b in batches:
+        for c in range(0, b.num_rows, RUN):
+            src, dst = (b.column(x).slice(c, RUN).to_numpy() for x in ("src", "dst"))
+            new = np.r_[last != (src[0], dst[0]), (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])]
+            last, src, dst = (src[-1], dst[-1]), src[new], dst[new]
+            if not len(src):
+                continue
+            at = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+            cuts = np.r_[at, len(src)].astype(np.int32)
+            dsts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * cuts).tobytes()), pa.py_buffer(dst.tobytes())])
+            yield pa.record_batch({"src": pa.array(src[at]), "n": pa.array(np.diff(cuts).astype(np.int64)), "low": pa.array(dst[at]), "high": pa.array(dst[cuts[1:] - 1]), "dsts": dsts})
+
+
+def _walk(start: int, edges: int, low: int, high: int):
+    """Depth-first over runs of neighbours. An edge takes four bytes where node numbers allow it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.empty(edges, np.int32 if -(2**31) <= low and high < 2**31 else np.int64)
+        whose, many, n = [], [], 0
+        for b in batches:
+            column = b.column("dsts")
+            if not b.num_rows:
+                continue
+            cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + b.num_rows + 1].astype(np.int64)
+            got = np.frombuffer(column.buffers()[2], np.int64, (cuts[-1] - cuts[0]) // 8, cuts[0])
+            near[n : n + len(got)] = got
+            n += len(got)
+            whose.append(b.column("src").to_numpy().copy())
+            many.append(np.diff(cuts) // 8)
+        whose, many = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (whose, many))
+        near = near[:n]
+        names = None  # numbers with few gaps are places by themselves
+        if low < 0 or high > 8 * (len(whose) + 1024):
+            names = np.unique(np.concatenate([np.unique(near).astype(np.int64), whose, [start]]))
+            for c in range(0, n, RUN):
+                near[c : c + RUN] = np.searchsorted(names, near[c : c + RUN])
+            whose = np.searchsorted(names, whose)
+        size = high + 1 if names is None else len(names)
+        # a source that was cut into several runs has them side by side
+        first = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]]) if len(whose) else np.empty(0, np.int64)
+        begins = np.r_[0, np.cumsum(many)]
+        at, stop = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        at[whose[first]], stop[whose[first]] = begins[first], begins[np.r_[first[1:], len(whose)].astype(np.int64)] if len(first) else 0
+        root = start if names is None else int(np.searchsorted(names, start))
+        seen, came, found, left = np.zeros(size, bool), np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        at_, stop_, came_, found_, left_, seen_, near_ = (memoryview(x) for x in (at, stop, came, found, left, seen, near))
+        seen[root], found_[root], clock, node = True, 1, 1, root
+        while True:
+            p, end, nxt, step = at_[node], stop_[node], -1, 8
+            for q in range(p, min(p + 4, end)):  # mostly one of the next few is new; single reads are quicker then
+                p = q + 1
+                if not seen_[near_[q]]:
+                    nxt = near_[q]
+                    break
+            while nxt < 0 and p < end:
+                some = near[p : min(p + step, end)]
+                new = ~seen[some]
+                k = int(new.argmax())
+                if new[k]:
+                    nxt, p = int(some[k]), p + k + 1
+                    break
+                p, step = p + len(some), min(4 * step, 8192)
+            at_[node] = p
             clock += 1
-            if nxt is None:
-                rows[node][1] = clock
-                stack.pop()
+            if nxt < 0:
+                left_[node] = clock
+                if node == root:
+                    break
+                node = came_[node]
             else:
-                seen.add(nxt)
-                rows[nxt] = [clock, 0, node]
-                stack.append((nxt, iter(near.get(nxt, []))))
-        yield pd.DataFrame([(n, d, f, p) for n, (d, f, p) in rows.items()], columns=["node", "discovery", "finish", "parent"]).astype({"parent": "Int64"})
-
-    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInPandas(walk, "node long, discovery int, finish int, parent long")
+                seen[nxt], came_[nxt], found_[nxt], node = True, node, clock, nxt
+        reached = np.flatnonzero(seen)
+        for c in range(0, len(reached), 1 << 18):
+            i = reached[c : c + (1 << 18)]
+            up = came[i]
+            name, parent = (i, up) if names is None else (names[i], names[up])
+            yield pa.record_batch({"node": pa.array(name, pa.int64()), "discovery": pa.array(found[i]), "finish": pa.array(left[i]), "parent": pa.array(parent, pa.int64(), mask=up < 0)})
+
+    return run
+
+
+def dfs(edges: DataFrame, start: int, max_edges: int | None = None) -> DataFrame:
+    """(node, discovery, finish, parent) in depth-first order, smaller neighbours first. The order is serial
+    by nature. All tasks sort the edges; one task walks their numbers, in four bytes
+    an edge and some thirty a node, without copies. More edges than max_edges, if given, are an error."""
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna()
+    runs = cut(e.repartition("src").sortWithinPartitions("src", "dst").mapInArrow(_runs, "src long, n long, low long, high long, dsts binary"))
+    n, low, high = runs.agg(F.sum("n"), F.least(F.min("src"), F.min("low")), F.greatest(F.max("src"), F.max("high"))).first()
+    if max_edges is not None and (n or 0) > max_edges:
+        raise ValueError(f"depth-first search walks at most {max_edges} edges in one task")
+    walk = _walk(int(start), n or 0, min(low or 0, int(start)), max(high or 0, int(start)))
+    return runs.select("src", "dsts").coalesce(1).mapInArrow(walk, "node long, discovery int, finish int, parent long")
 
 
 def graph_knn(edges: DataFrame, vectors: DataFrame, start: int, query: Sequence[float], k: int = 10, max_hops: int = 3, *, id_col: str = "id", vector: str = "vector") -> DataFrame:
