@@ -264,3 +264,17 @@ def test_depth_first_search_walks_any_numbers_of_nodes_and_edges(spark, monkeypa
     assert G.dfs(star, 0).agg(F.max("finish")).first()[0] == 6000 and inspect.signature(G.dfs).parameters["max_edges"].default is None
     with pytest.raises(ValueError):
         G.dfs(star, 0, max_edges=10)
+
+
+@pytest.mark.parametrize("linkage", ["average", "single", "complete"])
+def test_agglomeration_in_rounds_is_that_of_the_matrix(spark, monkeypatch, linkage):
+    """More rows than one matrix takes; tiles smaller than clusters."""
+    rng = np.random.default_rng(9)
+    rows = [(i * 3, x.tolist()) for i, x in enumerate(np.concatenate([rng.normal(c, 1, (60, 3)) for c in (-2, 0, 3)]))] + [(1, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {k: {tuple(r) for r in L.hierarchical(df, "v", k, linkage).collect()} for k in (1, 5, 40)}
+    for name, value in (("FINISH", 12), ("TALL", 8), ("WIDE", 16)):
+        monkeypatch.setattr(L.agglomerate, name, value)
+    for k in want:
+        assert {tuple(r) for r in L.hierarchical(df, "v", k, linkage).collect()} == want[k]
+    assert inspect.signature(L.hierarchical).parameters["limit"].default is None
