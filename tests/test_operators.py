@@ -320,3 +320,27 @@ def test_nearest_is_exact_whatever_the_scale(metric, scale, shift):
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1) if metric == "cosine" else 1
         d = np.where(n == 0, 1, 1 + d / np.where(n == 0, 1, n)) if metric == "cosine" else d
     assert np.allclose(best.d, np.sort(d, axis=1)[:, :7], rtol=1e-9, atol=1e-12 if metric == "cosine" else 0)
+
+
+def test_vector_pairs_are_neither_copied_nor_kept_by_the_pair(spark, monkeypatch):
+    """A join copies a row once a tile of the other side; clusters keep rows, not the pairs within eps."""
+    monkeypatch.setattr(S, "JOIN_BLOCK", 8)
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    x[:20] *= 6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    copies, kept = [], []
+    meet, whole = S.tiles.meet, L.cut
+    monkeypatch.setattr(S.tiles, "meet", lambda a, b, *rest: copies.append(a.count() + b.count()) or meet(a, b, *rest))
+    monkeypatch.setattr(L, "cut", lambda d: kept.append((out := whole(d)).count()) or out)
+    d = np.linalg.norm(x[:, None] - x, axis=2) <= 3.6
+    assert S.vec_join(df, df, "v", "v", 3.6).count() == d.sum() > 50_000
+    assert copies[0] <= 2 * 400 * (S.tiles.GROUPS + 3)
+    got = {r[0]: r[1] for r in L.dbscan(df, "v", 3.6, 100).collect()}
+    assert max(kept) < 12_000
+    core = d.sum(1) >= 100
+    label = np.where(core, np.arange(400), 10**6)
+    for _ in range(400):
+        label = np.where(core, np.where(d & core, label[None], 10**6).min(1), label)
+    border = np.where(d & core, label[None], 10**6).min(1)
+    names = {v: n for n, v in enumerate(sorted(set(label[core].tolist())))}
+    assert got == {i: names.get(int(border[i]), -1) for i in range(400)} and -1 in got.values()

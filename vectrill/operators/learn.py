@@ -305,30 +305,70 @@ def gmm(df: DataFrame, features: str, k: int, max_iters: int = 100, seed: int =
     return K.GaussianMixture(k=k, maxIter=max_iters, seed=seed).fit(d)
 
 
+def _within_counts(left: pa.Table, right: pa.Table, pairs) -> Iterator[pa.RecordBatch]:
+    """(id, n): how many of a tile's right rows are near each left row."""
+    n = np.zeros(left.num_rows, np.int64)
+    for i, _, _ in pairs:
+        n += np.bincount(i, minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pa.record_batch({"id": pa.array(left.column("id").to_numpy()[some]), "n": pa.array(n[some])})
+
+
+def _within_links(left: pa.Table, right: pa.Table, pairs) -> Iterator[pa.RecordBatch]:
+    """(border, a, b): each core row with the least of those that a tile links it to, and the border rows' core
+    neighbours, of which a border row has fewer than a core row. The right rows are core rows."""
+    ids, place = np.unique(np.r_[left.column("id").to_numpy(), right.column("id").to_numpy()], return_inverse=True)
+    one, two, core = place[: left.num_rows], place[left.num_rows :], left.column("f").to_numpy() == 1
+    up = np.arange(len(ids))
+
+    def rows(border: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"border": pa.array(np.full(len(a), border)), "a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    for i, j, _ in pairs:
+        inner = core[i]
+        if not inner.all():
+            yield rows(True, one[i[~inner]], two[j[~inner]])
+        a, b = up[one[i[inner]]], up[two[j[inner]]]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up[up] != up).any():
+                up = up[up]
+            a, b = up[a], up[b]
+    some = np.flatnonzero(up != np.arange(len(up)))
+    yield rows(False, some, up[some])
+
+
 def dbscan(df: DataFrame, features: str, eps: float, min_points: int = 5, *, id_col: str = "id") -> DataFrame:
-    """(id, cluster): -1 is noise, clusters from 0 by their smallest id. Pairs within eps come from the
-    exact vector join; core points joined by them are components; a border point takes its
-    smallest core neighbour's cluster."""
+    """(id, cluster): -1 is noise, clusters from 0 by their smallest id. Pairs within eps come from the tiles of
+    the exact vector join, twice, and aren't kept: a tile passes on counts first, then which core rows it links,
+    a row a row. Core points so linked are components; a border point takes its smallest core neighbour's cluster."""
     from pyspark.sql import Window as W
 
-    from vectrill.operators.search import vec_join
+    from vectrill.operators import tiles
+    from vectrill.operators.search import join_tiles
 
-    d = df.select(F.col(id_col).cast("long").alias("id"), V.vec(features).alias("v")).dropna()
-    pairs = cut(vec_join(d, d, "v", "v", eps).select("left_id", "right_id"))
-    core = cut(pairs.groupBy("left_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select(F.col("left_id").alias("id")))
-    inner = pairs.join(core.select(F.col("id").alias("left_id")), "left_id", "left_semi").join(core.select(F.col("id").alias("right_id")), "right_id", "left_semi")
+    d = cut(tiles.packed(df, features, id_col))
+    counts = join_tiles(d, d, eps, _within_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    core = cut(counts.filter(F.col("n") >= min_points).select("id"))
+    marked = cut(d.join(core.withColumn("f", F.lit(1)), "id", "left").select("id", "n", "v", F.coalesce("f", F.lit(0)).alias("f")))
+    found = cut(join_tiles(marked, marked.filter("f = 1"), eps, _within_links, "border boolean, a long, b long"))
+    ends = found.filter("NOT border").select("a", "b")
+    inner = cut(ends.union(ends.select("b", "a")).distinct())
     label = core.withColumn("label", F.col("id"))
     while True:
-        new = cut(inner.join(label.select(F.col("id").alias("right_id"), "label"), "right_id").groupBy(F.col("left_id").alias("id")).agg(F.min("label").alias("label")))
+        near = inner.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("other"))
+        new = cut(label.join(near, "id", "left").select("id", F.least("label", "other").alias("label")))
         # a label's own label shortens chains
         new = cut(new.alias("a").join(new.select(F.col("id").alias("j"), F.col("label").alias("up")), F.col("a.label") == F.col("j")).select("id", F.col("up").alias("label")))
         same = new.alias("a").join(label.alias("b"), "id").filter("a.label != b.label").isEmpty()
         label = new
         if same:
             break
-    border = pairs.join(label.select(F.col("id").alias("right_id"), "label"), "right_id").groupBy(F.col("left_id").alias("id")).agg(F.min("label").alias("label"))
-    found = border.select("label").distinct().withColumn("cluster", F.row_number().over(W.orderBy("label")) - 1)
-    return d.select("id").join(border.join(F.broadcast(found), "label").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    border = found.filter("border").join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
+    every = label.unionByName(border)
+    names = label.select("label").distinct().withColumn("cluster", F.row_number().over(W.orderBy("label")) - 1)
+    return d.select("id").join(every.join(F.broadcast(names), "label").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def hierarchical(df: DataFrame, features: str, k: int, linkage: str = "average", *, id_col: str = "id", limit: int | None = None) -> DataFrame:
