@@ -344,3 +344,35 @@ def test_vector_pairs_are_neither_copied_nor_kept_by_the_pair(spark, monkeypatch
     border = np.where(d & core, label[None], 10**6).min(1)
     names = {v: n for n, v in enumerate(sorted(set(label[core].tolist())))}
     assert got == {i: names.get(int(border[i]), -1) for i in range(400)} and -1 in got.values()
+
+
+def test_graph_rounds_read_the_edges_once(spark):
+    """Edges are an expensive join elsewhere; repeated edges count in the ranks, not in the communities."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    pairs = [(i, (i * 7 + k) % 40) for i in range(40) for k in (1, 3)] + [(0, 1)] * 3 + [(41, 5)]
+    e = spark.createDataFrame(pairs, "src long, dst long").mapInArrow(counted, "src long, dst long")
+    got = {}
+    for name, run in (("bfs", lambda: G.bfs(e, 0)), ("rank", lambda: G.pagerank(e, iterations=4, tolerance=0)), ("label", lambda: G.communities(e, 4))):
+        read.value = 0
+        got[name] = {r[0]: r[1] for r in run().collect()}
+        assert read.value == len(pairs), name
+    nodes = sorted({n for p in pairs for n in p})
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(4):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in pairs:
+            new[b] += 0.85 * rank[a] / sum(p[0] == a for p in pairs)
+        rank = new
+    assert all(abs(got["rank"][n] - rank[n]) < 1e-12 for n in nodes)
+    near = {n: {n} | {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n} for n in nodes}
+    label = {n: n for n in nodes}
+    for _ in range(4):
+        votes = {n: [label[m] for m in near[n]] for n in nodes}
+        label = {n: min(v, key=lambda c: (-v.count(c), c)) for n, v in votes.items()}
+    assert got["label"] == label

@@ -13,17 +13,28 @@ from vectrill.functions import vector as V
 from vectrill.operators.lineage import cut
 
 
+def _adjacent(edges: DataFrame, unique: bool = False) -> DataFrame:
+    """(src, dsts): edges written once, a row a source, placed by source over the session's shuffle partitions,
+    so that rounds can join what is placed by node without moving the edges again."""
+    e = edges.select("src", "dst").repartition(_parts(edges), "src").groupBy("src")
+    return cut(e.agg((F.collect_set if unique else F.collect_list)("dst").alias("dsts")))
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bfs(edges: DataFrame, start: int, max_depth: int = -1) -> DataFrame:
     """(node, depth, parent) of nodes reachable from start along src -> dst. The parent is the smallest
-    of the previous layer. Each layer is one join of the frontier; seen nodes are left out."""
+    of the previous layer. Edges are read once; each layer is one join of the frontier; seen nodes are left out."""
     spark = edges.sparkSession
-    e = edges.select("src", "dst")
+    e = _adjacent(edges)
     front = spark.createDataFrame([(int(start), 0, None)], "node long, depth int, parent long")
     seen = cut(front)
     front, depth = seen, 0
     while max_depth < 0 or depth < max_depth:
         depth += 1
-        step = e.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        step = e.join(front.select(F.col("node").alias("src")), "src").select("src", F.explode("dsts").alias("node")).groupBy("node").agg(F.min("src").alias("parent"))
         front = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
         if front.isEmpty():
             break
@@ -35,15 +46,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
     """(node, score): power iteration from a uniform start. The mass of nodes without out-edges is
     dropped. Stops when no score changes by the tolerance. The adjacency is written once, keyed
     by source; a round shuffles one row an edge at most, combined on the map side."""
-    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    e = _adjacent(edges)
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select(F.explode("dsts"))).distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    e = cut(edges.select("src", "dst").join(out, "src"))
     rank = nodes.withColumn("score", F.lit(1.0 / n))
     for i in range(iterations):
-        got = e.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("deg")).alias("in"))
+        given = e.join(rank.withColumnRenamed("node", "src"), "src").select((F.col("score") / F.size("dsts")).alias("share"), F.explode("dsts").alias("node"))
+        got = given.groupBy("node").agg(F.sum("share").alias("in"))
         new = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("in", F.lit(0.0))).alias("score"))
         new = cut(new)
         if tolerance > 0:
@@ -56,13 +67,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tol
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation: each round a node takes the most frequent label of
-    itself and its neighbours, the smallest on ties. Labels are the smallest node ids that spread."""
-    ends = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src != dst")
+    itself and its neighbours, the smallest on ties. Labels are the smallest node ids that spread.
+    Nodes tell neighbours their labels, which go to the neighbour's place once and are counted there."""
+    once = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src != dst")
     # a node votes for its own label, too; otherwise two neighbours would swap labels for ever
-    both = cut(ends.union(ends.select("src", F.col("src").alias("dst"))).distinct())
-    label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    ways = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ("sd", "ds")]))
+    both = once.distinct().select(F.col("src").alias("s"), F.col("dst").alias("d")).select(ways.alias("e")).select("e.src", "e.dst")
+    e = _adjacent(both)
+    label = e.select(F.col("src").alias("node"), F.col("src").alias("community"))
     for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.count("*").alias("n"))
+        told = e.join(label.withColumnRenamed("node", "src"), "src").select(F.explode(F.array_append("dsts", F.col("src"))).alias("node"), "community")
+        votes = told.repartition(_parts(edges), "node").groupBy("node", "community").agg(F.count("*").alias("n"))
         new = cut(votes.groupBy("node").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")))
         moved = new.alias("a").join(label.alias("b"), "node").filter("a.community != b.community").isEmpty()
         label = new
