@@ -124,3 +124,34 @@ def test_hash_embedding(spark):
 
     assert T.hash_embed(["abc", None, ""], dims=8) == [plain("abc", 8), None, plain("", 8)]
     assert np.allclose(one(spark, T.embed_udf(dims=8)(F.lit("abc"))), plain("abc", 8))
+
+
+def test_embeddings_are_made_a_few_texts_at_a_time(spark, monkeypatch):
+    """Texts of many lengths give the plain loop's hash; a provider never holds a whole batch of lists."""
+    texts = ["", None, "é" * 7, "x" * 5000] + ["ab" * i for i in range(120)]
+    want = []
+    for t in texts:
+        h = 5381
+        for b in (t or "").encode():
+            h = ((h * 33) ^ b) & 0xFFFFFFFF
+        want.append(h)
+    assert T._hash_bytes([(t or "").encode() for t in texts]).tolist() == want
+    sizes = []
+
+    def provider(texts, model, dims):
+        sizes.append(len(texts))
+        return T.hash_embed(texts, model, dims)
+
+    out = T.embed_udf(provider, dims=4).func(iter([__import__("pandas").Series(["a", None] * 2000)]))
+    assert sum(len(s) for s in out) == 4000 and max(sizes) <= 512
+    df = spark.createDataFrame([("a",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(T.embed_udf(dims=4)("t")).collect()] == T.hash_embed(["a", None, ""], dims=4)
+
+
+def test_distances_of_texts_are_those_of_their_embeddings(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["what is the license", "a", "", None, "license " * 60])], "id int, t string")
+    q = T.hash_embed(["what is the license"])[0]
+    both = df.select("id", T.embed_distance(q)("t").alias("d"), V.cosine_distance(T.embed_udf()("t"), q).alias("e"))
+    rows = both.collect()
+    assert all((r["d"] is None) == (r["e"] is None) and (r["d"] is None or abs(r["d"] - r["e"]) < 1e-12) for r in rows)
+    assert [r["id"] for r in rows if r["d"] is None] == [3] and abs(rows[0]["d"]) < 1e-12

@@ -103,36 +103,95 @@ def chunk_at_separators(df: DataFrame, *, doc_id: str, text: str, size: int = 51
     return d.select("doc_id", F.posexplode(whole).alias("n", "chunk_text")).filter("chunk_text != ''").select("doc_id", (F.col("n") + 1).alias("chunk_id"), "chunk_text")
 
 
+def _hash_bytes(raw: Sequence[bytes]) -> np.ndarray:
+    """Each text's hash: byte by byte, all texts that still have bytes at once; the last few one by one."""
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    begin = (np.cumsum(size) - size)[order]
+    left = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), "right")  # texts longer than each place
+    h, done = np.full(len(raw), 5381, np.uint32), 0
+    for place, n in enumerate(left.tolist()):
+        if n < 32:
+            break
+        h[:n] = (h[:n] * np.uint32(33)) ^ data[begin[:n] + place]
+        done = place + 1
+    for k in range(len(raw)):
+        if size[order[k]] <= done:
+            break
+        x = int(h[k])
+        for byte in raw[order[k]][done:]:
+            x = ((x * 33) ^ byte) & 0xFFFFFFFF
+        h[k] = x
+    out = np.empty(len(raw), np.uint32)
+    out[order] = h
+    return out
+
+
+def hash_matrix(texts: Sequence[str | None], model: str = "", dims: int = 384) -> np.ndarray:
+    """The built-in embeddings of texts as rows, None as the empty text."""
+    name = model.encode()
+    state = _hash_bytes([(t or "").encode() for t in texts])
+    out = np.empty((dims, len(texts)), np.int16)
+    for d in range(dims):
+        state = (state * np.uint32(33)) ^ np.uint32(name[d % len(name)] if name else d & 0xFF)
+        out[d] = state % np.uint32(2000)
+    return (np.ascontiguousarray(out.T).astype(np.float64) - 1000) / 1000
+
+
 def hash_embed(texts: Sequence[str | None], model: str = "", dims: int = 384) -> list[list[float] | None]:
     """The deterministic embedding that stands in where no model is given: a multiplicative hash
     of the bytes, then of each dimension's number or the model name's bytes, to [-1, 1)."""
-    name = model.encode()
-    state = np.array([5381] * len(texts), np.uint64)
-    raw = [(t or "").encode() for t in texts]
-    for i, r in enumerate(raw):
-        h = 5381
-        for byte in r:
-            h = ((h * 33) ^ byte) & 0xFFFFFFFF
-        state[i] = h
-    out = np.empty((len(texts), dims))
-    m = np.uint64(0xFFFFFFFF)
-    for d in range(dims):
-        state = ((state * np.uint64(33)) ^ np.uint64(name[d % len(name)] if name else d & 0xFF)) & m
-        out[:, d] = ((state % np.uint64(2000)).astype(np.int64) - 1000) / 1000
-    return [None if t is None else v.tolist() for t, v in zip(texts, out)]
+    return [None if t is None else v for t, v in zip(texts, hash_matrix(texts, model, dims).tolist())]
+
+
+#: Texts that a provider of embeddings is given at once.
+EMBED_BATCH = 512
+
+
+def embedded(provider, texts: Sequence[str | None], model: str, dims: int) -> list[np.ndarray | None]:
+    """A provider's vectors of a few texts as arrays, eight bytes a number."""
+    if provider is hash_embed:
+        return [None if t is None else v for t, v in zip(texts, hash_matrix(texts, model, dims))]
+    return [None if v is None else np.asarray(v, float) for v in provider(texts, model, dims)]
 
 
 def embed_udf(provider=hash_embed, model: str = "", dims: int = 384):
-    """An Arrow-batched column function around a provider of embeddings: texts to vectors."""
+    """An Arrow-batched column function around a provider of embeddings: texts to vectors. The provider is
+    given EMBED_BATCH texts at a time, and its lists don't outlive them."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(provider([None if pd.isna(x) else x for x in s], model, dims))
+            out: list = []
+            for c in range(0, len(s), EMBED_BATCH):
+                out += embedded(provider, [None if pd.isna(x) else x for x in s.iloc[c : c + EMBED_BATCH]], model, dims)
+            yield pd.Series(out, dtype=object)
 
     return embed
 
 
+def embed_distance(query: Sequence[float], provider=hash_embed, model: str = "", dims: int = 384):
+    """A column function from texts to the cosine distance of their embeddings from a query's, 1 where a norm
+    is 0: the vectors stay in the task."""
+    q = np.asarray(query, float)
+
+    @F.pandas_udf("double")
+    def distance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out: list = []
+            for c in range(0, len(s), EMBED_BATCH):
+                vectors = embedded(provider, [None if pd.isna(x) else x for x in s.iloc[c : c + EMBED_BATCH]], model, dims)
+                there = [v for v in vectors if v is not None]
+                m = np.array(there, float).reshape(len(there), len(q))
+                n = np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum())
+                d = iter(np.where(n == 0, 1.0, 1 - (m * q).sum(1) / np.where(n == 0, 1, n)).tolist())
+                out += [None if v is None else next(d) for v in vectors]
+            yield pd.Series(out, dtype=object)
+
+    return distance
+
+
 def splade_like(text: Column | str, vocabulary: int = 30522) -> Column:
     """A sparse vector of hashed tokens weighted ln(1 + tf): map<int,double>."""
     t = tokens(text)

@@ -307,4 +307,6 @@ def rag_query(spark, sf_dir):
     """Chunks nearest to a question by the built-in embedding's cosine; a provider is an argument."""
     chunks = T.chunk(docs(spark, sf_dir), doc_id="doc_id", text="text")
     q = T.hash_embed(["what is the license"])[0]
-    return S.knn(chunks.withColumn("v", T.embed_udf()(F.col("chunk_text"))).withColumn("id", F.struct("doc_id", "chunk_id")), "v", q, 5, metric="cosine", keep=["chunk_text"]).select("id.doc_id", "id.chunk_id", "chunk_text", r6(1 - F.col("distance")).alias("relevance_score"))
+    near = chunks.select(F.struct("doc_id", "chunk_id").alias("id"), "chunk_text", T.embed_distance(q)(F.col("chunk_text")).alias("distance"))
+    near = near.filter("distance IS NOT NULL").orderBy("distance", "id").limit(5)
+    return near.select("id.doc_id", "id.chunk_id", "chunk_text", r6(1 - F.col("distance")).alias("relevance_score"))
